@@ -10,6 +10,8 @@ from . import mixing
 from .encoding import vocabulary
 from .mixing import mix
 from .packing import pack
+from .secrets import secrets
+from .simhash import near_duplicates
 from .token_output import token_output
 
 
@@ -25,12 +27,20 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(_table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op6_best_fit_packing, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_token_output, op6_best_fit_packing, op7_secret_scan, op8_simhash, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
