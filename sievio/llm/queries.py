@@ -10,9 +10,11 @@ from . import mixing
 from .encoding import vocabulary
 from .mixing import mix
 from .packing import pack
+from .pages import main_texts
 from .secrets import secrets
 from .simhash import near_duplicates
 from .token_output import token_output
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -39,8 +45,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op6_best_fit_packing, op7_secret_scan, op8_simhash, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op6_best_fit_packing, op7_secret_scan, op8_simhash, op9_source_mixing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
