@@ -13,6 +13,7 @@ from .packing import pack
 from .pages import main_texts
 from .secrets import secrets
 from .simhash import near_duplicates
+from .substrings import remove_repeats
 from .token_output import token_output
 from .toxicity import toxicity
 
@@ -29,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -50,7 +55,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op6_best_fit_packing, op7_secret_scan, op8_simhash, op9_source_mixing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op4_suffix_dedup, op6_best_fit_packing, op7_secret_scan, op8_simhash, op9_source_mixing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
