@@ -1,10 +1,68 @@
-"""A corpus pipeline of five stages over `documents`."""
+"""A corpus pipeline over `documents`: toxicity, near duplicates, secrets, mixing, packing.
+
+Each stage is (spark, docs, sf_dir) -> DataFrame; it works on all rows that its
+predecessor kept, and its result is written as Parquet and read again as the next one's
+docs. All but the last return the columns of documents."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sievio.llm.common import staged
+from sievio.llm.encoding import vocabulary
+from sievio.llm.mixing import training_order
+from sievio.llm.packing import pack
+from sievio.llm.secrets import redacted
+from sievio.llm.simhash import near_duplicates
+from sievio.llm.toxicity import THRESHOLD, score, train
+
+#: No SQL expresses the learned lexicon, the fingerprints or the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold. Scores are learned from labels on the rows that aren't held out."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows without words have no content to be near duplicates by, and rows without doc_id no order;
+    both stay. Of repeated rows with that smallest id, one stays."""
+    rows = near_duplicates(docs.select("doc_id", "text")).filter("doc_id is not null")
+    firsts = staged(rows.groupBy("doc_id").agg(F.min("component_id").alias("_first")).filter("doc_id = _first").select("doc_id", F.lit(True).alias("_kept")), "first-of-group")
+    stays = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    # Rows without id are spread by their text, so that they are no hot key of the window.
+    w = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
+    joined = docs.join(firsts, "doc_id", "left").withColumn("_n", F.row_number().over(w))
+    return joined.filter(stays | (F.col("_kept") & (F.col("_n") == 1))).select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; secrets that look live are replaced, examples that many sources hold stay."""
+    return redacted(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix reads them, in training order."""
+    return training_order(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per piece its place in a sequence of at most 4096 ids."""
+    return pack(docs, vocabulary())
+
+
+STAGES = [("toxicity", toxicity), ("simhash near-dedup", near_duplicate), ("secret scans", secret_scan), ("mixing", mixing), ("best-fit packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the folder's documents; the last stage's rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
