@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from .embeddings import near_vectors
 from .encoding import vocabulary
 from .mixing import mix
 from .packing import pack
@@ -30,6 +31,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op4_suffix_dedup, op6_best_fit_packing, op7_secret_scan, op8_simhash, op9_source_mixing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op3_embedding_dedup, op4_suffix_dedup, op6_best_fit_packing, op7_secret_scan, op8_simhash, op9_source_mixing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
