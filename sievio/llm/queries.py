@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import mixing
 from .embeddings import near_vectors
@@ -12,6 +13,7 @@ from .encoding import vocabulary
 from .mixing import mix
 from .packing import pack
 from .pages import main_texts
+from .search import search
 from .secrets import secrets
 from .simhash import near_duplicates
 from .substrings import remove_repeats
@@ -39,6 +41,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts whose doc_id is divisible by 50 are the queries; all documents are searched."""
+    return search(_table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -60,7 +67,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op3_embedding_dedup, op4_suffix_dedup, op6_best_fit_packing, op7_secret_scan, op8_simhash, op9_source_mixing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_token_output, op2_toxicity, op3_embedding_dedup, op4_suffix_dedup, op5_exact_topk, op6_best_fit_packing, op7_secret_scan, op8_simhash, op9_source_mixing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
