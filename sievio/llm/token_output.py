@@ -53,7 +53,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str) -> list[dic
     keyed = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("text"))
     ordered = keyed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     # One line per file: bounded by the number of tasks, whatever the number of documents.
-    manifest = [r.asDict() for r in ordered.mapInArrow(write, _DONE).orderBy("shard").toLocalIterator()]
+    manifest = sorted((r.asDict() for r in ordered.mapInArrow(write, _DONE).collect()), key=lambda m: m["shard"])
     before = 0
     for line in manifest:
         line["before"] = before
