@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievio.llm.common import staged
+from sievio.llm.common import packed, staged, unpacked
 from sievio.llm.encoding import vocabulary
 from sievio.llm.mixing import training_order
 from sievio.llm.packing import pack
@@ -25,7 +25,7 @@ ORACLE_SQL = None
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold. Scores are learned from labels on the rows that aren't held out."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    return unpacked(score(packed(docs, "text"), model).filter(F.col("score") < THRESHOLD), docs.columns, ("text",))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,10 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     stays = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     # Rows without id are spread by their text, so that they are no hot key of the window.
     w = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    joined = docs.join(firsts, "doc_id", "left").withColumn("_n", F.row_number().over(w))
-    return joined.filter(stays | (F.col("_kept") & (F.col("_n") == 1))).select(*docs.columns)
+    kept, columns = ("doc_id", "text"), docs.columns
+    joined = packed(docs, *kept).join(firsts, "doc_id", "left").withColumn("_n", F.row_number().over(w))
+    joined = joined.filter(stays | (F.col("_kept") & (F.col("_n") == 1)))
+    return unpacked(joined, columns, kept)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPO = str(Path(__file__).resolve().parents[2])
 SPACE = r"\x20\x09-\x0D"
@@ -54,6 +55,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def basic(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns of docs in the types that the operators work with; any others, whatever their names, are left out."""
+    kinds = {"doc_id": "long", "vec_id": "long", "page_id": "long"}
+    return docs.select(*[F.col(n).cast(kinds.get(n, "string")).alias(n) for n in names])
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others as one, `_rest`, so that their names clash with none of an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*names, F.struct(*rest, F.lit(0).alias("_")).alias("_rest") if "_" not in docs.columns else F.struct(*rest).alias("_rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], names: tuple[str, ...]) -> DataFrame:
+    return df.select(*[F.col(c) if c in names else F.col(f"_rest.`{c}`").alias(c) for c in columns])
+
+
 def opened(uri: str):
     """(file system, path) of a shared folder's file."""
     return pafs.FileSystem.from_uri(uri)

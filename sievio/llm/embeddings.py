@@ -157,6 +157,16 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return V / np.sqrt((V * V).sum(axis=1))[:, None]
 
 
+def _apart(raw: list[bytes], most: float = 0.9) -> np.ndarray:
+    """Medoids of which no two are alike: a large group of near copies then has one cell, not a part of many."""
+    V = _unit(raw)
+    kept: list[int] = []
+    for i in range(len(V)):
+        if not kept or (V[kept] @ V[i]).max() < most:
+            kept.append(i)
+    return V[kept]
+
+
 def _prepared(table: DataFrame) -> DataFrame:
     """vec_id, row, key (label and vector, hashed; null for a vector that links with nothing), label, vec."""
 
@@ -175,7 +185,7 @@ def _prepared(table: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], ["vec_id", "label", "key", "vec"])
 
     prepare(table.sparkSession)
-    rows = table.select("vec_id", "embedding", F.col("label").cast("string").alias("label")).mapInArrow(run, "vec_id long, label string, key binary, vec binary")
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label")).mapInArrow(run, "vec_id long, label string, key binary, vec binary")
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -200,17 +210,15 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     for r in sorted(pivots, key=lambda r: (r["group"], r["vec"])):
         by_group.setdefault(r["group"], []).append(bytes(r["vec"]))
     # Bounded by PIVOTS vectors, whatever the input.
-    medoids = spark.sparkContext.broadcast(by_group)
+    medoids = spark.sparkContext.broadcast({g: _apart(v) for g, v in by_group.items()})
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        known = medoids.value
         for batch in batches:
             groups = np.array(batch.column(0).to_pylist(), object)
             vecs = batch.column(3).to_pylist()
             cells: list[list[int]] = [[0]] * len(vecs)
-            for g in set(groups) & set(medoids.value):
-                if g not in known:
-                    known[g] = _unit(medoids.value[g])
+            for g in set(groups) & set(known):
                 own = np.flatnonzero(groups == g)
                 sims = _unit([vecs[i] for i in own]) @ known[g].T
                 order = np.argsort(-sims, axis=1)[:, :CELLS_MOST]

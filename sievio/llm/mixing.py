@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import basic, packed, unpacked
+
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Knots (time, weights of the repeating classes of sources). The default holds 5, 2, 1 throughout.
 CONSTANT = ((0.0, (5.0, 2.0, 1.0)), (1.0, (5.0, 2.0, 1.0)))
@@ -98,7 +100,7 @@ def mix(docs: DataFrame, schedule=CONSTANT, most: int = MOST, seed: int = 0) ->
     `taken` counts the words that the mix reads: whole passes over the source, then the words
     ahead of the target's end, so the sum over a source is its rounded target. `position` is
     the training time of the first reading, null where nothing is read."""
-    rows = placed(docs.select("doc_id", "text", "source"), schedule, most, seed)
+    rows = placed(basic(docs, "doc_id", "text", "source"), schedule, most, seed)
     goal = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("_goal", goal).withColumn("_passes", passes)
@@ -113,7 +115,8 @@ def training_order(docs: DataFrame, schedule=CONSTANT, most: int = MOST, seed: i
 
     A document is read once more in its source's last, partial pass if at least half of its words
     lie ahead of the target. Columns as in docs."""
-    rows = placed(docs, schedule, most, seed)
+    kept = ("doc_id", "text", "source")
+    rows = placed(packed(docs, *kept), schedule, most, seed)
     size, S, goal = F.col("size"), F.col("source_size"), F.round("target").cast("long")
     rows = rows.withColumn("_goal", goal).withColumn("_passes", F.when(S > 0, F.floor(F.col("_goal") / S)).otherwise(F.lit(0)).cast("int"))
     last = F.when(2 * F.col("before") + size < 2 * (F.col("_goal") - F.col("_passes") * S), 1).otherwise(0)
@@ -121,7 +124,7 @@ def training_order(docs: DataFrame, schedule=CONSTANT, most: int = MOST, seed: i
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     share = (F.col("before") + F.col("_copy") * S) / F.col("target")
     rows = rows.withColumn("_position", position(schedule, F.col("class"), share))
-    return rows.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id", "_copy").select(*docs.columns)
+    return rows.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id", "_copy").transform(unpacked, docs.columns, kept)
 
 
 ORACLE = """

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prepare, staged, texts_of
+from .common import basic, prepare, staged, texts_of
 from .encoding import END, encoder
 
 CAPACITY = 4096
@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     prepare(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(cut, _PIECES)
+    return basic(docs, "doc_id", "text").mapInArrow(cut, _PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepare, texts_of
+from .common import basic, prepare, texts_of
 
 _RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|title|xmp"
 _TOKEN = re.compile(
@@ -199,4 +199,4 @@ def main_texts(pages: DataFrame, weights: dict = WEIGHTS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     prepare(pages.sparkSession)
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return basic(pages, "page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import prepare, staged, texts_of
+from .common import basic, packed, prepare, staged, texts_of, unpacked
 
 KINDS = ("assign", "access", "hex", "live")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -75,8 +76,8 @@ def candidates(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind), pa.array(content, pa.int64())], [*names, "spans", "content"])
 
     prepare(docs.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scan, f"{fields}, spans {_SPANS}, content long")
+    out = T.StructType([*docs.schema.fields, *T._parse_datatype_string(f"spans {_SPANS}, content long").fields])
+    return docs.mapInArrow(scan, out)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     Base spans stay whatever their ownership; opaque candidates are added, as kind `live`, where few
     owners hold them. A null text is empty; a null source is an owner of its own; repeated rows count
     as one repository. An empty table gives no rows; other columns are ignored."""
-    found = candidates(docs.select("doc_id", "source", "text")).drop("text").withColumn("row", F.monotonically_increasing_id())
+    found = candidates(basic(docs, "doc_id", "source", "text")).drop("text").withColumn("row", F.monotonically_increasing_id())
     found = staged(found, "secret-candidates")
     known = decided(found, example_owners).withColumnRenamed("spans", "known")
     base = F.filter("spans", lambda s: s["kind"] < 3)
@@ -127,6 +128,9 @@ def redacted(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str =
     """docs with every live-looking secret of the text replaced by `mark`; examples that many owners hold stay.
 
     Overlapping spans are replaced as one. n_chars, where there is one, follows the text; all rows stay."""
+    columns, schema = docs.columns, docs.schema
+    kept = ("text", "source", "n_chars") if "n_chars" in columns else ("text", "source")
+    docs = packed(docs, *kept)
     names = docs.columns
     found = staged(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "secret-rows")
     live = decided(found, example_owners).select("row", F.filter("spans", lambda s: s["live"]).alias("cuts")).filter(F.size("cuts") > 0)
@@ -149,5 +153,6 @@ def redacted(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str =
     changed = found.filter(F.size("spans") > 0).join(live, "row", "left").drop("row", "spans", "content")
     changed, same = changed.filter("cuts is not null").mapInArrow(cut, docs.schema), changed.filter("cuts is null").select(*names)
     if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.filter(F.size("spans") == 0).select(*names).unionByName(same).unionByName(changed.select(*names))
+        changed = changed.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
+    every = found.filter(F.size("spans") == 0).select(*names).unionByName(same).unionByName(changed.select(*names))
+    return unpacked(every, columns, kept)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, staged, texts_of
+from .common import basic, prepare, staged, texts_of
 from .graph import components
 
 DISTANCE = 6
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     prepare(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return basic(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def block_widths(blocks: int) -> list[int]:

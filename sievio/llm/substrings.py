@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import get_file, prepare, put_file, shared_path, staged, texts_of
+from .common import basic, get_file, prepare, put_file, shared_path, staged, texts_of
 
 LENGTH = 100
 GRAM = 24
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     [pa.array(ids, mask=there == 0), pa.array(lengths), pa.array(total[ends] - total[begins]), pa.array(spans[ends] - spans[begins]), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 )
 
-    hashes = docs.select("doc_id", "text").mapInArrow(split, "h long, part int, again boolean")
+    hashes = basic(docs, "doc_id", "text").mapInArrow(split, "h long, part int, again boolean")
     # Nulls mark the parts; they are spread like any hash.
     again = staged(hashes.repartition(F.coalesce("h", F.col("part").cast("long"))).mapInArrow(repeated, "part int, h long"), "repeated-anchors")
     shared = again.repartition("part").sortWithinPartitions("part").mapInArrow(blocks, _BLOCKS)

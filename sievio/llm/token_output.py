@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import get_file, prepare, put_file, shared_path, texts_of
+from .common import basic, get_file, prepare, put_file, shared_path, texts_of
 from .dac import DacShard, dac_file
 from .encoding import END, encoder
 
@@ -50,7 +50,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str) -> list[dic
         put_file(uri, chunks)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [uri], "n_docs": [len(ids)], "n_tokens": [total], "n_bytes": [sum(map(len, chunks))]})
 
-    keyed = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("text"))
+    keyed = basic(docs, "doc_id", "text").withColumn("_h", F.xxhash64("text"))
     ordered = keyed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     # One line per file: bounded by the number of tasks, whatever the number of documents.
     manifest = sorted((r.asDict() for r in ordered.mapInArrow(write, _DONE).collect()), key=lambda m: m["shard"])

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import prepare, texts_of
+from .common import basic, prepare, texts_of
 
 THRESHOLD = 0.3
 #: Labelled rows, the first by hash of doc_id, that the lexicon is fitted on.
@@ -144,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most `rows` pairs of numbers, and then their texts.
-    sample = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(known), "doc_id").select("text", "toxic").distinct()
+    sample = basic(docs, "doc_id", "text").filter("text is not null").join(F.broadcast(known), "doc_id").select("text", "toxic").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = [(t, x) for b in batches for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
@@ -169,13 +170,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, "score"])
 
     prepare(docs.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
     A null doc_id is not held out. Repeated rows get equal scores; an empty table gives no rows."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels, rows))
+    scored = score(basic(docs, "doc_id", "text"), train(docs, labels, rows))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,0 +1,185 @@
+"""Toxicity, secrets, pages, substrings, search and mixing against direct versions."""
+
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from sievio.llm import toxicity as tox
+from sievio.llm.mixing import CONSTANT, mix, training_order
+from sievio.llm.pages import best_stretch, extract, fit, main_texts
+from sievio.llm.search import search
+from sievio.llm.secrets import redacted, secrets
+from sievio.llm.substrings import remove_repeats
+
+
+def test_folding():
+    assert tox.fold("1D1OT, ѕtuрid ｉｄｉｏｔ café") == ["idiot", "stupid", "idiot", "cafe"]
+
+
+def test_toxicity_learns(spark, docs, empty):
+    clean = [(i, f"word{i % 7} alpha beta w{i % 11} gamma the idiotic-free{i % 5} text") for i in range(200)]
+    bad = [(1000 + i, f"word{i % 7} x{i} scumbag y{i} m0ron z{i % 13} moron scumbags") for i in range(60)]
+    table = spark.createDataFrame([(*r, 0) for r in clean] + [(*r, 1) for r in bad], "doc_id long, text string, toxic int")
+    model = tox.train(table, table.select("doc_id", "toxic"))
+    assert all(any(w.startswith(e.strip()) for w in ("scumbags", "moron")) for e in model["weights"])
+    out = tox.toxicity(table, table).join(table.select("doc_id", "toxic"), "doc_id").collect()
+    assert all(r["predicted"] == r["toxic"] and 0 <= r["score"] <= 1 for r in out) and any(r["held_out"] for r in out)
+    got = tox.toxicity(docs, table).collect()
+    assert len(got) == docs.count() and all(r["score"] is not None and r["predicted"] in (0, 1) for r in got)
+    assert tox.toxicity(empty, table).count() == 0 and tox.toxicity(docs, table.limit(0)).count() == docs.count()
+    assert tox.score(docs, model).columns[-1] == "score"
+
+
+def test_exception_phrases():
+    texts = [(f"a{i} scum b{i} scum c{i}", 1) for i in range(40)] + [(f"q{i} pond scum r{i}", 0) for i in range(3)] + [(f"clean {i}", 0) for i in range(300)]
+    assert " scum" in {e.rstrip() for e in tox.fit(texts, support=8)["weights"]}
+    more = texts + [(f"q{i} pond scum r{i}", 0) for i in range(9)]
+    model = tox.fit(more, support=8, impure=0.4)
+    assert any("pond" in e and w < 0 for e, w in model["weights"].items())
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base(text):
+    out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    order = ["assign", "access", "hex"]
+    return sorted(out, key=lambda s: (s[1], order.index(s[0])))
+
+
+def test_secrets(spark, docs, rows, empty):
+    got = Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets(docs).collect())
+    want = Counter()
+    for r in rows:
+        b = base(r[1] or "")
+        n = Counter(k for k, _, _ in b)
+        want[r[0], n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{k}:{x}:{y}" for k, x, y in b).encode()).hexdigest()] += 1
+    assert got == want and secrets(empty).count() == 0
+
+
+def test_ownership(spark):
+    shared, own = "token=ABCDEFGHIJKLMNOP", "Secret: 'qrstuvwxyz012345'"
+    opaque = "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1Jk0"
+    table = spark.createDataFrame([(i, f"{shared} number {i}", f"s{i}") for i in range(6)] + [(10, f"x {own} y {opaque}", "s1"), (11, f"x {own} y {opaque}", "s1")], "doc_id long, text string, source string")
+    r = {x["doc_id"]: x for x in secrets(table).collect()}
+    assert (r[0]["n_example"], r[0]["n_live"]) == (1, 0) and (r[10]["n_example"], r[10]["n_live"], r[10]["n_added"]) == (0, 2, 1)
+    assert r[10]["spans"] == f"assign:2:27,live:31:{31 + len(opaque)}"
+    text = {x["doc_id"]: x["text"] for x in redacted(table).collect()}
+    assert text[0] == f"{shared} number 0" and text[10] == "x [SECRET]' y [SECRET]"
+
+
+def test_redacted_keeps_rows(docs):
+    out = redacted(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert not any("0123456789abcdef0123" in (r["text"] or "") for r in out.collect())
+
+
+PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Site <nav><ul><li><a href=/>Home</a></ul></nav></header>
+<div class="cookie-banner">We use cookies on this page, do you agree to all of them?</div><article><h1>Head&nbsp;line</h1><p>First  para &amp; more<br>here.<p>Second <b>bold</b><div class=ad>Buy this now</div><form><input><label>mail</label></form>
+<p>Third.</article><aside>Side text that is quite long as well</aside><section id="comments"><p>I liked it very much, a great read.</p></section><footer>&copy; x</footer></body></html>"""
+
+
+def test_pages(spark):
+    assert extract(PAGE) == "Head line\nFirst para & more here.\nSecond bold\nThird."
+    assert extract(PAGE.replace("<article>", "<div class=content>").replace("</article>", "</div>")) == "Head line\nFirst para & more here.\nSecond bold\nThird."
+    for broken in (None, "", "<", "<p", "&amp", "<!-- x", "<script>x", "<p class='", "</", "plain text", "<p>" * 500):
+        assert isinstance(extract(broken), str)
+    assert extract("plain &lt;text&gt;") == "plain <text>"
+    w = fit([(PAGE, extract(PAGE))])
+    assert w["main"] > 0 > w["apart"]
+    table = spark.createDataFrame([(1, "u", PAGE, 5), (None, None, None, 6), (2, "v", "<nav>a</nav>", 7)], "page_id long, url string, html string, text int")
+    out = {r["page_id"]: r for r in main_texts(table).collect()}
+    assert out[1]["n_chars"] == len(out[1]["text"]) > 0 and out[None]["text"] == "" and out[2]["text"] == "" and main_texts(table.limit(0)).count() == 0
+
+
+def test_best_stretch():
+    assert best_stretch([-1, 2, -1, 3, -9, 2]) == (1, 3) and best_stretch([-1.0]) == (0, -1) and best_stretch([]) == (0, -1)
+
+
+def test_pages_of_the_tables(spark, sf):
+    """Against the articles cut out by hand."""
+    import html
+
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        inside = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>?", " ", p)).split()) for p in re.split(r"</?(?:h1|p)>", inside)]
+        assert extract(r["html"]) == "\n".join(p for p in parts if p)
+
+
+def brute_repeats(rows, length=100):
+    seen, out = set(), Counter()
+    for i, r in sorted(enumerate(rows), key=lambda x: (x[1][0] is not None, x[1][0] or 0, x[0])):
+        b = (r[1] or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            if w in seen:
+                gone[p : p + length] = b"\1" * length
+            seen.add(w)
+        spans = sum(1 for k in range(len(gone)) if gone[k] and (not k or not gone[k - 1]))
+        out[r[0], len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()] += 1
+    return out
+
+
+def test_repeats(spark, docs, rows, empty):
+    assert Counter(tuple(r) for r in remove_repeats(docs).collect()) == brute_repeats(rows)
+    assert remove_repeats(empty).count() == 0
+
+
+def brute_bm25(rows, query, k):
+    counts = [(r[0], Counter(re.findall(r"\w+", (r[1] or "").lower()))) for r in rows]
+    df = Counter(w for _, c in counts for w in c)
+    n, average = len(rows), sum(sum(c.values()) for _, c in counts) / len(rows)
+    out = []
+    for d, c in counts:
+        norm = 1.2 * (0.25 + 0.75 * sum(c.values()) / average)
+        s = sum(q * math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + norm) for w, q in Counter(re.findall(r"\w+", query.lower())).items() if c[w])
+        if s > 0:
+            out.append((-s, d is None, d or 0))
+    return [round(-s, 6) for s, _, _ in sorted(out)[:k]]
+
+
+def test_search(docs, rows, empty):
+    got = defaultdict(list)
+    for r in search(docs, F.col("doc_id") % 5 == 0, 7).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(round(r["score"], 6))
+    asked = {r[0]: r[1] for r in rows if r[0] is not None and r[0] % 5 == 0}
+    for d, text in asked.items():
+        want = brute_bm25(rows, text or "", 7)
+        if sum(r[0] == d for r in rows) == 1:
+            assert got[d] == want, d
+    assert search(empty, F.col("doc_id") % 5 == 0).count() == 0
+
+
+def test_mix(docs, rows, empty):
+    out = mix(docs).toPandas()
+    assert len(out) == len(rows)
+    for _, g in out.groupby("source", dropna=False):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 0.5 and g["target"].iloc[0] <= 3 * g["source_size"].iloc[0]
+    assert (out["taken"] <= 3 * out["size"]).all()
+    assert abs(out.groupby("source", dropna=False)["target"].first().sum() - out["size"].sum()) < 1e-3
+    again = mix(docs.repartition(5)).toPandas()
+    key = ["doc_id", "size", "taken", "position"]
+    assert out.sort_values(key)[key].reset_index(drop=True).equals(again.sort_values(key)[key].reset_index(drop=True))
+    assert mix(empty).count() == 0
+
+
+@pytest.mark.parametrize("schedule", [CONSTANT, ((0.0, (5.0, 2.0, 0.0)), (0.5, (1.0, 2.0, 5.0)), (1.0, (0.0, 2.0, 1.0)))])
+def test_training_order(spark, docs, schedule):
+    out = training_order(docs, schedule)
+    assert out.columns == docs.columns and 0 < out.count() <= 3 * docs.count() and dict(out.dtypes)["size"] == "int"
+
+
+def test_schedule_is_followed(spark):
+    """Early on a source of falling weight, late on one of rising weight."""
+    table = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+    schedule = ((0.0, (1.0, 0.0)), (1.0, (0.0, 1.0)))
+    p = mix(table, schedule).groupBy("source").agg(F.avg("position").alias("p")).collect()
+    at = {r["source"]: r["p"] for r in p}
+    assert abs(at["a"] - 1 / 3) < 0.02 and abs(at["b"] - 2 / 3) < 0.02
