@@ -106,23 +106,28 @@ def unranked(docs: DataFrame) -> DataFrame:
     return docs.select("*", *[F.lit(0).alias(c) for c in RANK])
 
 
-def sort_keys(settings: Settings, mapping: Mapping) -> list[Column]:
-    """sortBy, then the rank rules, then rankBy, then _docid."""
+def sort_keys(settings: Settings, mapping: Mapping) -> list[tuple[Column, bool]]:
+    """(value, whether descending): sortBy, then the rank rules, then rankBy, then _docid."""
 
-    def by(spec: dict | None) -> list[Column]:
+    def by(spec: dict | None) -> list[tuple[Column, bool]]:
         out = []
         for name, how in (spec or {}).items():
             f = mapping.get(name, "sort field")
             if f.base != "number" or not f.indexed:
                 raise QueryError(f"'{name}' is no indexed number")
-            v = doc_value(f)
-            out.append(v.desc() if how == "desc" else v.asc())
+            out.append((doc_value(f), how == "desc"))
         return out
 
-    rules = [F.desc(r) if r == "exact" else F.asc(r) for r in settings.rankAlgorithm]
-    return [*by(settings.sortBy), *rules, *by(settings.rankBy), F.asc("_docid")]
+    rules = [(F.col(r), r == "exact") for r in settings.rankAlgorithm]
+    return [*by(settings.sortBy), *rules, *by(settings.rankBy), (F.col("_docid"), False)]
 
 
-def page(rows: DataFrame, keys: list[Column], number: int, size: int) -> DataFrame:
-    """One page in order: the sort and the limit stay together, so only the best page * size rows of a task are ever kept."""
-    return rows.orderBy(*keys).limit(number * size).offset((number - 1) * size)
+def page(rows: DataFrame, keys: list[tuple[Column, bool]], number: int, size: int) -> DataFrame:
+    """One page in order, of ids, ranks and sort values only: the sort and the limit stay together, so a task keeps
+    no more than the best number * size of its rows."""
+    narrow = rows.select("_docid", *RANK, *[k.alias(f"_k{i}") for i, (k, _) in enumerate(keys)])
+    return narrow.orderBy(*order(keys)).limit(number * size).offset((number - 1) * size)
+
+
+def order(keys: list[tuple[Column, bool]]) -> list[Column]:
+    return [F.desc(f"_k{i}") if down else F.asc(f"_k{i}") for i, (_, down) in enumerate(keys)]

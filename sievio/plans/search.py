@@ -26,7 +26,7 @@ class SearchPlan:
     words: TextPlan
     filter: Column | None
     aggs: list
-    keys: list[Column]
+    keys: list[tuple[Column, bool]]
     page: int
     explain: bool
     settings: Settings
@@ -86,8 +86,9 @@ class Search:
     def hits(self) -> DataFrame:
         """The page of hits, in order, with `_explain`, `_highlight` and projected fields as asked."""
         p, s = self.plan, self.plan.settings
-        rows = self.matches(ranks=True)
-        asc = rank.page(rows, p.keys, p.page, s.hitsPerPage)
+        top = rank.page(self.matches(ranks=True), p.keys, p.page, s.hitsPerPage)
+        # A page has at most maxHits (1000) rows: whole documents are fetched for these only, and put in order again.
+        asc = self.index.documents.join(F.broadcast(top), "_docid").orderBy(*rank.order(p.keys)).drop(*[f"_k{i}" for i in range(len(p.keys))])
         if p.explain:
             asc = asc.withColumn("_explain", F.struct(*[F.col(r) for r in s.rankAlgorithm]) if s.rankAlgorithm else F.struct(F.lit(0).alias("none")))
         asc = asc.drop(*rank.RANK, "_shard")
@@ -125,14 +126,19 @@ class Search:
 
 
 class _Persisted:
-    """The matches, persisted while a response is made."""
+    """The matches, narrowed and persisted while a response is made."""
 
     def __init__(self, search: Search):
         self.search = search
 
     def __enter__(self) -> DataFrame:
-        ranks = bool(self.search.plan.settings.hitsPerPage)
-        self.rows = self.search.matches(ranks).persist()
+        p, mapping = self.search.plan, self.search.index.mapping
+        ranks = bool(p.settings.hitsPerPage)
+        named = [*mapping.facets, *(p.settings.sortBy or {}), *(p.settings.rankBy or {})]
+        roots = dict.fromkeys([mapping.fields[n].path[0] for n in named] + [f.path[0] for _, _, f in p.aggs])
+        rows = self.search.matches(ranks)
+        # Only what facets, metrics and the sort look at is kept; the page's documents are fetched later.
+        self.rows = rows.select("_docid", *[F.col(f"`{c}`") for c in roots], *(rank.RANK if ranks else [])).persist()
         self.old = self.search.matches
         self.search.matches = lambda ranks=False: self.rows  # type: ignore[method-assign]
         return self.rows
