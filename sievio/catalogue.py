@@ -240,19 +240,19 @@ _agg("agg_missing_zero", labels, {"aggs": {"a": {"avg": {"field": "n"}}, "b": {"
 
 def _fields(index: Callable, names: list[str], *columns) -> Callable:
     def run(s, d):
-        return index(s, d).query({"getFields": names, "filter": {}, "hitsPerPage": 50, "highlightFields": None}).hits().select(*columns)
+        return index(s, d).query({"getFields": names, "filter": {}, "hitsPerPage": 50, "highlightFields": None}).hits().selectExpr(*columns)
 
     return run
 
 
 _add("get_fields_flat", _fields(part, ["p_partkey", "p_name"], "*"), "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 50")
-_add("get_fields_nested", _fields(nested, ["p_partkey", "item.p_name", "item.maker.p_brand"], "p_partkey", F.to_json("item").alias("item")), """SELECT p_partkey, '{"p_name":"' || p_name || '","maker":{"p_brand":"' || p_brand || '"}}' AS item FROM part ORDER BY p_partkey LIMIT 50""")
-_add("get_fields_obj_array", _fields(nested, ["p_partkey", "parts.kind", "nothing"], "p_partkey", F.to_json("parts").alias("parts")), """SELECT p_partkey, '[{"kind":"' || p_type || '"},{"kind":"BASE"}]' AS parts FROM part ORDER BY p_partkey LIMIT 50""")
+_add("get_fields_nested", _fields(nested, ["p_partkey", "item.p_name", "item.maker.p_brand"], "p_partkey", "to_json(item) AS item"), """SELECT p_partkey, '{"p_name":"' || p_name || '","maker":{"p_brand":"' || p_brand || '"}}' AS item FROM part ORDER BY p_partkey LIMIT 50""")
+_add("get_fields_obj_array", _fields(nested, ["p_partkey", "parts.kind", "nothing"], "p_partkey", "to_json(parts) AS parts"), """SELECT p_partkey, '[{"kind":"' || p_type || '"},{"kind":"BASE"}]' AS parts FROM part ORDER BY p_partkey LIMIT 50""")
 
 
 def _highlight(name: str, q: str, marked: str, where: str, source: bool = False) -> None:
-    col = F.col("p_name" if source else "_highlight.p_name").alias("marked")
-    _add(name, lambda s, d: part(s, d).query({"q": q, "highlightFields": ["p_name"], "highlightSource": source, "hitsPerPage": 40}).hits().select("p_partkey", col), f"SELECT p_partkey, {marked} AS marked FROM part WHERE {where} ORDER BY p_partkey LIMIT 40")
+    col = f"{'p_name' if source else '_highlight.p_name'} AS marked"
+    _add(name, lambda s, d: part(s, d).query({"q": q, "highlightFields": ["p_name"], "highlightSource": source, "hitsPerPage": 40}).hits().selectExpr("p_partkey", col), f"SELECT p_partkey, {marked} AS marked FROM part WHERE {where} ORDER BY p_partkey LIMIT 40")
 
 
 _highlight("highlight_exact", "red ", "replace(p_name, 'red', '<mark>red</mark>')", _HAS.format("w = 'red'"))
