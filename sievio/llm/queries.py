@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import embeddings, mixing
 from .embeddings import near_vectors
 from .encoding import vocabulary
 from .mixing import mix
 from .packing import pack
 from .pages import main_texts
+from .search import ORACLE as search_sql
 from .search import search
 from .secrets import secrets
 from .simhash import near_duplicates
@@ -43,7 +44,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts whose doc_id is divisible by 50 are the queries; all documents are searched."""
-    return search(_table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+    return search(_table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0).withColumn("score", F.round("score", 6))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.ORACLE}
+    return {"op3_embedding_dedup": embeddings.ORACLE, "op5_exact_topk": search_sql, "op9_source_mixing": mixing.ORACLE}
