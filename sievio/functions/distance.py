@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,8 @@ def distances(term: Term, words: list[str]) -> np.ndarray:
     term that is near enough ends the walk, and the least distance up to there counts."""
     if not words:
         return np.zeros(0, np.int64)
+    if not term.fuzzy:
+        return np.array([0 if (w.startswith(term.word) if term.prefix else w == term.word) else -1 for w in words])
     rows, k, L = osa_rows(term.word, words, term.typos), term.typos, len(term.word)
     if not term.prefix:
         lengths = np.array([len(w) for w in words])
@@ -57,21 +61,11 @@ def distances(term: Term, words: list[str]) -> np.ndarray:
     return np.where(best <= k, best, -1)
 
 
-def distance(term: Term, word: Column) -> Column:
-    """The term's distance to a column of words; null where it doesn't match. Python only where typos are allowed."""
+def near(term: Term, word: Column) -> Column:
+    """Whether a word may match the term: exactly so without typos; with typos, by plain edit distance, in which a swap is two edits."""
     if not term.fuzzy:
-        return F.when(F.startswith(word, F.lit(term.word)) if term.prefix else word == term.word, F.lit(0))
+        return F.startswith(word, F.lit(term.word)) if term.prefix else word == term.word
     L, k = len(term.word), term.typos
-
-    def run(words: pd.Series) -> pd.Series:
-        return pd.Series(distances(term, words.tolist()), dtype="int32")
-
-    # A swap is two plain edits: what plain edit distance rules out needs no closer look.
-    if term.prefix:
-        near = F.lit(False)
-        for m in range(L - k, L + k + 1):
-            near = near | (F.levenshtein(F.lit(term.word), F.substring(word, 1, m), 2 * k) >= 0)
-    else:
-        near = (F.abs(F.length(word) - L) <= k) & (F.levenshtein(F.lit(term.word), word, 2 * k) >= 0)
-    found = F.pandas_udf(run, "int")(F.when(near, word).otherwise(F.lit("")))
-    return F.when(near & (found >= 0), found)
+    if not term.prefix:
+        return (F.abs(F.length(word) - L) <= k) & (F.levenshtein(F.lit(term.word), word, 2 * k) >= 0)
+    return reduce(or_, [F.levenshtein(F.lit(term.word), F.substring(word, 1, m), 2 * k) >= 0 for m in range(L - k, L + k + 1)])

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.analyzer import token_rows
-from ..functions.distance import distance
+from ..functions.distance import distances, near
 from ..functions.terms import TextPlan, holds
 from ..plans.mapping import Mapping
 from .fields import values
@@ -36,11 +39,22 @@ def vocabulary(posts: DataFrame) -> DataFrame:
 def word_hits(words: DataFrame, plan: TextPlan) -> DataFrame:
     """The words that terms match: word, `terms` (which), `first` (the first of them), `dist` (by the last).
 
-    Distances are computed once for a word, never for its occurrences."""
-    found = words.select("word", *[distance(t, F.col("word")).alias(f"d{i}") for i, t in enumerate(plan.terms)])
-    each = [F.col(f"d{i}") for i in range(len(plan.terms))]
-    terms = F.filter(F.array(*[F.when(d.isNotNull(), F.lit(i)) for i, d in enumerate(each)]), lambda x: x.isNotNull())
-    return found.filter(F.coalesce(*each).isNotNull()).select("word", terms.alias("terms"), F.element_at(terms, 1).alias("first"), F.coalesce(*reversed(each)).alias("dist"))
+    Distances are computed once for a word, never for its occurrences; words that plain edit distance
+    rules out for all terms don't leave the JVM."""
+    terms = plan.terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            found = np.array([distances(t, own) for t in terms]).reshape(len(terms), len(own))
+            hit = found >= 0
+            keep = np.flatnonzero(hit.any(axis=0))
+            which = [np.flatnonzero(hit[:, i]).tolist() for i in keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([own[i] for i in keep], pa.string()), pa.array(which, pa.list_(pa.int32())), pa.array([w[0] for w in which], pa.int32()), pa.array([int(found[w[-1], i]) for w, i in zip(which, keep)], pa.int32())], ["word", "terms", "first", "dist"]
+            )
+
+    return words.select("word").filter(reduce(or_, [near(t, F.col("word")) for t in terms])).mapInArrow(run, "word string, terms array<int>, first int, dist int")
 
 
 def occurrences(posts: DataFrame, plan: TextPlan, words: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,8 @@ from ..plans.settings import Settings
 from .fields import doc_value
 
 FAR = 8
-_FIELD = 65536
+_FIELD = 1 << 20
+_DISTANCE = _FIELD << 12
 RANK = ("typos", "proximity", "field", "position", "exact")
 _RANK_TYPE = "struct<typos:int,proximity:int,field:int,position:int,exact:int>"
 
@@ -86,11 +87,13 @@ def ranked(found: DataFrame, plan: TextPlan) -> DataFrame:
 
     One word needs no Python: exact occurrences, if any, compete alone; the least distance, then the first
     place, win. For several words the few occurrences of a document go through one Pandas UDF."""
-    key = F.col("priority") * _FIELD + F.col("position")
+    key = F.col("priority").cast("long") * _FIELD + F.col("position")
     if plan.slots == 1:
         word = F.col("word") == plan.words[0]
-        best = found.groupBy("_docid").agg(F.max(word.cast("int")).alias("exact"), F.min(F.struct(F.col("dist").alias("d"), key.alias("k"))).alias("b"))
-        return best.select("_docid", F.col("b.d").cast("int").alias("typos"), F.lit(0).alias("proximity"), F.floor(F.col("b.k") / _FIELD).cast("int").alias("field"), (F.col("b.k") % _FIELD).cast("int").alias("position"), "exact")
+        # Distance, field and position as one number: its minimum is a hash aggregation, which that of a struct isn't.
+        best = found.groupBy("_docid").agg(F.max(word.cast("int")).alias("exact"), F.min(F.col("dist").cast("long") * _DISTANCE + key).alias("b"))
+        part = lambda over, size: F.floor(F.pmod("b", F.lit(over)) / size).cast("int")
+        return best.select("_docid", F.floor(F.col("b") / _DISTANCE).cast("int").alias("typos"), F.lit(0).alias("proximity"), part(_DISTANCE, _FIELD).alias("field"), part(_FIELD, 1).alias("position"), "exact")
     flags = [F.max(F.array_contains("terms", i)).alias(f"t{i}") for i in range(len(plan.terms))]
     per = found.groupBy("_docid").agg(F.collect_list(F.struct(key.alias("key"), "first", "dist", "word")).alias("o"), *flags)
     per = per.filter(holds(plan, lambda i: F.col(f"t{i}")))

@@ -88,7 +88,7 @@ class Search:
         p, s = self.plan, self.plan.settings
         top = rank.page(self.matches(ranks=True), p.keys, p.page, s.hitsPerPage)
         # A page has at most maxHits (1000) rows: whole documents are fetched for these only, and put in order again.
-        asc = self.index.documents.join(F.broadcast(top), "_docid").orderBy(*rank.order(p.keys)).drop(*[f"_k{i}" for i in range(len(p.keys))])
+        asc = self.index.documents.join(F.broadcast(top), "_docid").orderBy(*rank.order(p.keys)).limit(max(1, s.hitsPerPage)).drop(*[f"_k{i}" for i in range(len(p.keys))])
         if p.explain:
             asc = asc.withColumn("_explain", F.struct(*[F.col(r) for r in s.rankAlgorithm]) if s.rankAlgorithm else F.struct(F.lit(0).alias("none")))
         asc = asc.drop(*rank.RANK, "_shard")
