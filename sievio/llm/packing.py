@@ -139,7 +139,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     rows, _ = best_fit_decreasing(counts, capacity)
     w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = per.select("length", "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    ranked = cut.join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    # The counts grow with the number of tasks: they are merged, never broadcast on the word of their packed file size.
+    ranked = cut.join(before.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     # The table of places: at most a few rows for each of `capacity` lengths, so its size is bounded.
     table = spark.sparkContext.broadcast(rows)
 
