@@ -40,6 +40,10 @@ _NOISE = frozenset(
     header masthead topbar toolbar subscribe subscription newsletter signup login signin popup modal overlay paywall search
     searchbox pagination pager tags taglist contentinfo complementary form feedback outbrain taboola skip hidden""".split()
 )
+#: Of these, parts that also name what lies around an article: one within counts again.
+_AROUND = frozenset("aside banner banners header masthead menu menus modal nav navbar navigation overlay paywall popup rail sidebar sidebars skip topbar widget widgets".split())
+#: Parts that name an article.
+_CONTENT = frozenset("article articlebody body content entry main post prose story text".split())
 #: Log-odds of a word's being article text, by where it stands, and what a tag costs; fit() gives these from labelled pages.
 WEIGHTS = {
     "main": 6.0, "plain": 1.0, "link": -2.0, "apart": -3.11, "other": 0.5,
@@ -56,25 +60,33 @@ class _Run:
         self.text, self.block, self.path, self.standing, self.at = text, block, path, standing, at
 
 
-def _noisy(attributes: str) -> bool:
+def _named(attributes: str) -> tuple[int, bool]:
+    """(2 for an element apart, 1 for one that may also lie around an article, 0 else; whether it is named as an article)."""
+    level, content = 0, False
     for m in _NAMED.finditer(attributes):
-        value = m[1].strip("\"'")
-        if any(p.lower() in _NOISE for p in _PART.findall(value)):
-            return True
-    return bool(_HIDDEN.search(attributes))
-
-
-def _read(page: str) -> tuple[list[_Run], list[tuple[int, str]]]:
-    """The runs of words and the tags (place, name) of a page, in order."""
+        for name in m[1].strip("\"'").split():
+            parts = {p.lower() for p in _PART.findall(name)}
+            if parts & {"with", "has", "no"}:
+                continue
+            noise = parts & _NOISE
+            if noise:
+                level = max(level, 1 if noise <= _AROUND else 2)
+            elif parts & _CONTENT:
+                content = True
+    return (2 if _HIDDEN.search(attributes) else level), content and not level
+
+
+def _read(page: str, soft: bool = True) -> tuple[list[_Run], list[tuple[int, str]]]:
+    """The runs of words and the tags (place, name) of a page, in order. Without `soft`, names that may also lie around an article don't count."""
     runs, tags = [], []
-    stack: list[tuple[str, int, bool, bool]] = []  # name, number, apart, main
+    stack: list[tuple[str, int, int, bool]] = []  # name, number, apart (as _named), main
     block = number = at = place = 0
     links = 0
 
     def text(raw: str) -> None:
         nonlocal place
         if raw:
-            apart = bool(stack) and stack[-1][2]
+            apart = bool(stack) and stack[-1][2] > 0
             main = bool(stack) and stack[-1][3]
             standing = "apart" if apart else "link" if links and not main else "main" if main else "plain"
             runs.append(_Run(raw, block, tuple(s[1] for s in stack if s[0] not in _INLINE), standing, place))
@@ -110,14 +122,30 @@ def _read(page: str) -> tuple[list[_Run], list[tuple[int, str]]]:
             while stack and (stack[-1][0] in _INLINE or stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "td", "th", "tr", "dt", "dd", "option")):
                 links -= stack[-1][0] == "a"
                 stack.pop()
-        up_apart, up_main = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+        up_apart, up_main = (stack[-1][2], stack[-1][3]) if stack else (0, False)
         attributes, number = m["attr"], number + 1
-        noisy = name not in ("html", "body") and bool(attributes) and _noisy(attributes) and not (name in _MAIN and not up_main and not re.search(r"comment|reply|teaser|related|promo|sponsor", attributes, re.I))
-        apart = up_apart or noisy or name in _APART or name == "header" and not up_main
-        main = up_main or not apart and (name in _MAIN or re.search(r"""role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody""", attributes) is not None)
+        level, content = _named(attributes) if attributes and name not in ("html", "body") else (0, False)
+        if level == 1 and (not soft or up_main and "header" in attributes.lower()):
+            level = 0  # the article's own heading
+        if name in _MAIN and not up_main:
+            level = 2 if re.search(r"comment|repl(?:y|ies)|teaser|related|promo|sponsor", attributes, re.I) else 0
+        if name in _APART:
+            level = 2
+        elif name == "header" and not up_main:
+            level = 1
+        as_main = name in _MAIN or re.search(r"""role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody""", attributes) is not None
+        apart = 0 if up_apart == 1 and not level and as_main else max(up_apart, level)
+        main = not apart and (up_main or as_main or content)
         stack.append((name, number, apart, main))
         links += name == "a"
     text(page[at:])
+    linked, words = Counter(), Counter()
+    for r in runs:
+        words[r.block] += len(r.text.split())
+        linked[r.block] += len(r.text.split()) * (r.standing == "link")
+    for r in runs:
+        if r.standing == "link" and 2 * linked[r.block] < words[r.block]:
+            r.standing = "plain"  # a link within a sentence
     return runs, tags
 
 
@@ -137,7 +165,10 @@ def extract(page: str | None, weights: dict = WEIGHTS) -> str:
     """The main text: its blocks, white space made single, joined by line feeds."""
     if not page:
         return ""
-    runs, tags = _read(page)
+    return _extract(*_read(page), weights) or _extract(*_read(page, soft=False), weights)
+
+
+def _extract(runs: list[_Run], tags: list[tuple[int, str]], weights: dict) -> str:
     if not runs:
         return ""
     scores = [0.0] * (max(runs[-1].at, tags[-1][0] if tags else 0) + 1)

@@ -183,3 +183,29 @@ def test_schedule_is_followed(spark):
     p = mix(table, schedule).groupBy("source").agg(F.avg("position").alias("p")).collect()
     at = {r["source"]: r["p"] for r in p}
     assert abs(at["a"] - 1 / 3) < 0.02 and abs(at["b"] - 2 / 3) < 0.02
+
+
+BODY = "<h1>Title here now</h1><p>First para with words enough.</p><p>Second para with more words.</p>"
+VARIANTS = {
+    "layout": f'<body><div class="layout with-sidebar"><div class="sidebar"><ul><li><a>x</a></ul>side words here are many more words</div><article>{BODY}</article></div></body>',
+    "main": f'<div class="page sidebar-right"><main>{BODY}</main><div class="sidebar">other words here in sidebar</div></div>',
+    "own header": '<article><header class="entry-header"><h1>Title here now</h1></header><p>First para with words enough.</p><p>Second para with more words.</p><footer>by me</footer></article>',
+    "comments": f'<article>{BODY}</article><section id="comments"><article><p>This is a long comment that has more words than the article has in it, at least I do hope so, indeed yes it has.</p></article></section>',
+    "inner comments": f'<article>{BODY}<div class="comments"><div class="comment"><p>Nice one, really.</p></div></div></article>',
+    "no article": f'<div id="header">Site<ul class="menu"><li><a>Home</a></li></ul></div><div id="content">{BODY}</div><div id="footer">foot</div>',
+    "notice": f'<div role="alert">Please note that this site uses cookies</div><div class="post">{BODY}</div><div class="newsletter"><form><p>Sign up now please</p></form></div>',
+    "table": f'<table><tr><td class="nav"><a>a</a></td><td>{BODY}</td></tr></table>',
+    "inner ads": '<article><h1>Title here now</h1><p>First para with words enough.</p><aside>Promo</aside><div class="advert">Buy</div><p>Second para with more words.</p></article>',
+    "bare": BODY,
+    "unclosed": "<nav><ul><li><a href=x>Home<li><a>About</ul></nav><article><h1>Title here now<p>First para with words enough.<p>Second para with more words.",
+    "related": f'<div class="modal"><p>Subscribe to us</p></div><main><article>{BODY}</article><section class="related"><h2>More</h2><p>Other stories</p></section></main>',
+    "soft name": f'<div class="sidebar-layout"><div>{BODY}</div></div>',
+    "side text": f'<div class="sidebar"><div class="text">Some side words that are long enough to count as text here</div></div><article>{BODY}</article>',
+    "link": BODY.replace("First para with words", "First para <a href=x>with</a> words"),
+    "lists": f"<ul><li><a>Home page</a></li><li><a>About us</a></li></ul>{BODY}<ul><li><a>Privacy</a></li></ul>",
+}
+
+
+@pytest.mark.parametrize("name", VARIANTS)
+def test_page_variants(name):
+    assert extract(VARIANTS[name]) == "Title here now\nFirst para with words enough.\nSecond para with more words."
