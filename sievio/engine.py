@@ -106,7 +106,7 @@ _ROUTES = [
     ("POST", "indexes/{i}/clear", "delDoc", lambda a, m, b: a.index(m["i"]).clear()),
     ("POST", "indexes/{i}/query", "queryIndex", lambda a, m, b: a.index(m["i"]).search(b)),
     ("POST", "indexes/{i}", "addDoc", lambda a, m, b: {"success": True, "ids": a.index(m["i"]).add(b)}),
-    ("DELETE", "indexes/{i}", "delIndex", lambda a, m, b: a.drop_index(m["i"])),
+    ("DELETE", "indexes/{i}", "delDoc|delIndex", lambda a, m, b: a.drop_index(m["i"])),
     ("GET", "indexes/{i}/{d}", "browseDoc", lambda a, m, b: a.index(m["i"]).get(m["d"])),
     ("PUT", "indexes/{i}/{d}", "updateDoc", lambda a, m, b: a.index(m["i"]).replace(m["d"], b)),
     ("PATCH", "indexes/{i}/{d}", "updateDoc", lambda a, m, b: a.index(m["i"]).patch(m["d"], b)),

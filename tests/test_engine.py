@@ -218,7 +218,7 @@ def test_crud(spark):
         index.get("3")
     index.replace("3", old)
     assert counts(*three) == [1, 1, 1, 1, 3]
-    index.replace("3", {"str": "kkkk", "n": 6, "nl": [8, 9, 10], "f": "fff", "fl": ["ttt", "sss"], "b": False})
+    index.replace("3", {"b": False, "fl": ["ttt", "sss"], "f": "fff", "nl": [8, 9, 10], "n": 6, "str": "kkkk"})
     assert counts({"q": "kkkk"}, {"filter": {"n": 6}}, {"filter": {"fl": "ttt"}}, {"filter": {"nl": 9}}, {"filter": {"n": 3}}, {"q": "hhhh"}) == [1, 1, 1, 1, 0, 0]
     index.patch("3", {"str": "hhhh", "n": 3, "nl": [8, 10, 11]})
     assert counts({"q": "hhhh"}, {"filter": {"nl": 11}}, {"filter": {"nl": 9}}, {"filter": {"f": "fff"}}, {"q": "kk"}) == [1, 1, 0, 1, 0]
