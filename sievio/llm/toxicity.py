@@ -32,7 +32,7 @@ SUPPORT = 8
 IMPURE = 0.1
 PREFIXES = range(4, 9)
 
-_LOOKALIKES = dict(zip("аеіорсухѕјһԁӏкмтнвгαεικνορτυχωβγδ", "aeiopcyxsjhdlkmthbraeikvoptuxwbyd")) | dict(zip("0134578@$!|", "oieastbasil"))
+_LOOKALIKES = dict(zip("аеіорсухѕјһԁӏкмтнвгαεικνορτυχωβγδ", "aeiopcyxsjhdlkmthbraeikvoptuxwbyd")) | dict(zip("01l2345789@$+!|", "oiizeastbgastii"))
 
 
 class _Fold(dict):
@@ -54,8 +54,18 @@ _TABLE = _Fold()
 
 
 def fold(text: str) -> list[str]:
-    """The folded words of a text."""
-    return text.lower().translate(_TABLE).split()
+    """The folded words of a text; l and i, which 1 stands for, are one letter. Four or more single letters in a row are also a word."""
+    words = text.lower().translate(_TABLE).split()
+    single = [i for i, w in enumerate(words) if len(w) == 1]
+    if len(single) > 3:
+        first = at = single[0]
+        for i in [*single[1:], len(words) + 1]:
+            if i != at + 1:
+                if at - first >= 3:
+                    words.append("".join(words[first : at + 1]))
+                first = i
+            at = i
+    return words
 
 
 def _entries(word: str) -> list[str]:
@@ -66,7 +76,8 @@ def fit(texts: list[tuple[str, int]], support: int = SUPPORT, impure: float = IM
     """Lexicon, exception phrases and curve from (text, toxic) pairs.
 
     An entry has `support` different left neighbours in toxic texts and few clean texts with it;
-    an entry that starts with another is dropped. A phrase (an entry after or before a certain
+    an entry that starts with another is dropped, and one that
+    nearly always goes on in the same way is lengthened. A phrase (an entry after or before a certain
     word) that is seen `support` times, almost only in clean texts, is an exception."""
     folded = [(fold(t), x) for t, x in texts]
     lefts: dict[str, set] = defaultdict(set)
@@ -86,7 +97,10 @@ def fit(texts: list[tuple[str, int]], support: int = SUPPORT, impure: float = IM
     chosen: list[str] = []
     for e in sorted(often, key=lambda e: (len(e), e)):
         if clean[e] <= impure * toxic[e] and weight[e] > 1 and not any(e.startswith(c) for c in chosen):
-            chosen.append(e)
+            while longer := [x for x in often if len(x) == len(e) + 1 and x.startswith(e) and x[-1] != " " and toxic[x] >= 0.98 * toxic[e]]:
+                e = longer[0]  # as long a beginning as nearly all texts with it share
+            if not any(c.startswith(e) for c in chosen):
+                chosen.append(e)
     lexicon = {" " + e: round(weight[e], 4) for e in chosen}
     phrases, seen = Counter(), Counter()
     for words, x in folded:

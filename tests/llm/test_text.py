@@ -17,7 +17,8 @@ from sievio.llm.substrings import remove_repeats
 
 
 def test_folding():
-    assert tox.fold("1D1OT, ѕtuрid ｉｄｉｏｔ café") == ["idiot", "stupid", "idiot", "cafe"]
+    assert tox.fold("1D1OT, ѕtuрid ｉｄｉｏｔ café c1own") == ["idiot", "stupid", "idiot", "cafe", "ciown"] and tox.fold("clown") == ["ciown"]
+    assert tox.fold("you s.t-u p i d a b") == ["you", "s", "t", "u", "p", "i", "d", "a", "b", "stupidab"] and tox.fold("a b c") == ["a", "b", "c"]
 
 
 def test_toxicity_learns(spark, docs, empty):
@@ -25,7 +26,7 @@ def test_toxicity_learns(spark, docs, empty):
     bad = [(1000 + i, f"word{i % 7} x{i} scumbag y{i} m0ron z{i % 13} moron scumbags") for i in range(60)]
     table = spark.createDataFrame([(*r, 0) for r in clean] + [(*r, 1) for r in bad], "doc_id long, text string, toxic int")
     model = tox.train(table, table.select("doc_id", "toxic"))
-    assert all(any(w.startswith(e.strip()) for w in ("scumbags", "moron")) for e in model["weights"])
+    assert all(any(w.startswith(e.strip()) for w in ("scumbags", "moron", "moron ")) for e in model["weights"])
     out = tox.toxicity(table, table).join(table.select("doc_id", "toxic"), "doc_id").collect()
     assert all(r["predicted"] == r["toxic"] and 0 <= r["score"] <= 1 for r in out) and any(r["held_out"] for r in out)
     got = tox.toxicity(docs, table).collect()
