@@ -233,39 +233,53 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs (part, ord, pos, n) of starts of strings that start earlier, too; rows without block pass."""
         found: list[tuple] = []
-        held: list[tuple] = []
+        pool: list[tuple] = []
+        group: list[tuple] = []
+        pooled, now = 0, None
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*found))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int32()))], ["part", "ord", "pos", "n"])
+
+        def close() -> None:
+            """The first of equal blocks stays; different blocks of the anchor go to the pool."""
+            nonlocal pooled
+            group.sort(key=lambda r: r[1:6])
+            first: dict[bytes, tuple] = {}
+            for r in group:
+                if first.setdefault(r[7], r) is not r:
+                    found.append(r[3:7])
+            group.clear()
+            if len(first) > 1:
+                pool.extend(first.values())
+                pooled += sum(r[6] for r in first.values())
+            if pooled >= _POOL:
+                flush()
+
+        def flush() -> None:
+            nonlocal pooled
+            found.extend(_pool_copies(pool, length))
+            pool.clear()
+            pooled = 0
+
+        # The rows come sorted by anchor: one anchor's blocks, and the pool, are all that is held.
         for batch in batches:
-            lists = [c.to_pylist() for c in batch.columns]
-            for h, doc_id, part, number, pos, n, block in zip(*lists):
+            for h, doc_id, part, number, pos, n, block in zip(*(c.to_pylist() for c in batch.columns)):
                 if block is None:
                     found.append((part, number, pos, n))
                 else:
-                    held.append((h, doc_id is not None, doc_id or 0, part, number, pos, n, block))
-        held.sort(key=lambda r: r[:6])
-        pool: list[tuple] = []
-        pooled, a = 0, 0
-        while a < len(held):
-            b, seen, rest = a, set(), []
-            while b < len(held) and held[b][0] == held[a][0]:
-                r = held[b]
-                if r[7] in seen:
-                    found.append(r[3:7])
-                else:
-                    seen.add(r[7])
-                    rest.append(r)
-                b += 1
-            if len(rest) > 1:
-                pool += rest
-                pooled += sum(r[6] for r in rest)
-                if pooled >= _POOL:
-                    found += _pool_copies(pool, length)
-                    pool, pooled = [], 0
-            a = b
+                    if h != now:
+                        close()
+                        now = h
+                    group.append((h, doc_id is not None, doc_id or 0, part, number, pos, n, block))
+                if len(found) >= 50_000:
+                    yield out()
+        close()
         if pool:
-            found += _pool_copies(pool, length)
-        for k in range(0, len(found), 50_000):
-            cols = list(zip(*found[k : k + 50_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int32()))], ["part", "ord", "pos", "n"])
+            flush()
+        if found:
+            yield out()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, table in _by_part(batches, "part"):
@@ -296,7 +310,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # Nulls mark the parts; they are spread like any hash.
     again = staged(hashes.repartition(F.coalesce("h", F.col("part").cast("long"))).mapInArrow(repeated, "part int, h long"), "repeated-anchors")
     shared = again.repartition("part").sortWithinPartitions("part").mapInArrow(blocks, _BLOCKS)
-    runs = shared.repartition(F.coalesce("h", F.xxhash64("part", "ord", "pos"))).mapInArrow(copies, "part int, ord int, pos long, n int")
+    runs = shared.repartition(F.coalesce("h", F.xxhash64("part", "ord", "pos"))).sortWithinPartitions("h").mapInArrow(copies, "part int, ord int, pos long, n int")
     return staged(runs, "copies").repartition("part").sortWithinPartitions("part").mapInArrow(cut, _OUT)
 
 
