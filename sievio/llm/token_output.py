@@ -79,7 +79,7 @@ def read_token_files(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(starts + before), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.createDataFrame([(m["uri"], m["before"]) for m in manifest], "uri string, before long")
-    return files.repartition(len(manifest), "uri").mapInArrow(read, _READ)
+    return files.coalesce(1).repartition(len(manifest)).mapInArrow(read, _READ)
 
 
 def token_at(manifest: list[dict], position: int) -> int:
