@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import secrets as _random
 from dataclasses import dataclass, field
@@ -11,6 +12,7 @@ from pyspark.sql import SparkSession
 from . import __version__
 from .errors import Forbidden, NotFound, QueryError, SearchError
 from .index import SearchIndex
+from .plans.settings import Settings
 
 PERMISSIONS = ("listIndex", "addIndex", "delIndex", "queryIndex", "browseDoc", "addDoc", "delDoc", "updateDoc", "getConfig", "setConfig", "analytics")
 
@@ -146,6 +148,32 @@ class Engine:
             self.apps[name].drop_index(index)
         del self.apps[name]
 
+    def save(self, folder: str) -> None:
+        """Applications, keys and settings as one JSON line, and each index's documents as a table, under a folder of any file system."""
+        apps = []
+        for a in self.apps.values():
+            indexes = [{"name": n, "shards": i.shards, "analyzer": i.analyzer, "settings": i.settings.as_dict()} for n, i in a.indexes.items()]
+            apps.append(a.info() | {"keys": [k.as_dict() for k in a.keys.values()], "indexes": indexes})
+            for n, i in a.indexes.items():
+                i.documents.write.mode("overwrite").parquet(f"{folder}/{a.app_id}/{n}")
+        line = json.dumps({"master": self.master, "apps": apps})
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/engine")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Engine:
+        """The engine as saved; its indexes are over the saved tables."""
+        saved = json.loads(spark.read.text(f"{folder}/engine").first()[0])
+        engine = cls(spark, *saved["master"])
+        for a in saved["apps"]:
+            app = engine.apps[a["name"]] = App(spark, a["name"], a["appId"], a["apiKey"])
+            for k in a["keys"]:
+                app.keys[k["apiKey"]] = Key(k["apiKey"], k["description"], tuple(k["permissions"]), tuple(k["indexes"]))
+            for i in a["indexes"]:
+                index = app.create_index(i["name"], None, i["shards"])
+                index.analyzer, index.settings = i["analyzer"], Settings(**i["settings"])
+                index.use_table(spark.read.parquet(f"{folder}/{a['appId']}/{i['name']}"))
+        return engine
+
     def request(self, method: str, path: str, body=None, app_id: str | None = None, api_key: str | None = None) -> tuple[int, object]:
         """(status, answer) of an API call; paths as in /1/indexes/books/query, or /ping."""
         try:

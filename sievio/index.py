@@ -159,6 +159,11 @@ class SearchIndex:
             self.merge_table(table)
         return []
 
+    def use_table(self, documents: DataFrame) -> None:
+        """Takes a table with _id, _docid and _shard as the documents."""
+        self._changed()
+        self._docs = documents
+
     def merge_table(self, table: DataFrame, keep_old: bool = False) -> None:
         """Upserts a table with an `_id` column: rows of equal id are replaced (or stay beside, if keep_old).
 

@@ -285,3 +285,15 @@ def test_stream(spark, tmp_path):
     index.merge_table(table.limit(0))
     ingest(spark.readStream.schema(table.schema).json(str(tmp_path / "in")), index, str(tmp_path / "check")).awaitTermination()
     assert total(index, {"q": "wor"}) == 1
+
+
+def test_engine_is_saved(spark, tmp_path):
+    engine = Engine(spark, "m", "k")
+    app = engine.create_app("a")
+    app.create_index("i", {"indexedFields": ["t"]}).add([{"_id": "1", "t": "hello"}])
+    key = app.add_key({"permissions": ["queryIndex"]})
+    engine.save(str(tmp_path / "e"))
+    again = Engine.load(spark, str(tmp_path / "e"))
+    status, r = again.request("POST", "1/indexes/i/query", {"q": "hel"}, app.app_id, key.value)
+    assert status == 200 and r["totalHits"] == 1 and again.request("GET", "1/version", None, "m", "k")[0] == 200
+    assert again.request("GET", "1/indexes/i/1", None, app.app_id, app.api_key)[1]["t"] == "hello"
