@@ -47,7 +47,7 @@ class SearchIndex:
     def over(cls, table: DataFrame, name: str, key: str, settings: dict | None = None, shards: int = 1, analyzer: str = "default") -> SearchIndex:
         """An index over a table of any size; `key` is its unique integer column and serves as id and ordinal."""
         index = cls(table.sparkSession, name, settings, shards, analyzer)
-        index._docs = table.select(F.col(key).cast("string").alias("_id"), F.col(key).cast("long").alias("_docid"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(shards)).cast("int").alias("_shard"), "*")
+        index._docs = table.select(F.col(key).cast("string").alias("_id"), F.col(key).cast("long").alias("_docid"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(shards)).cast("int").alias("_shard"), *[F.col(f"`{c}`") for c in table.columns if c not in INTERNAL])
         return index
 
     def saved(self, path: str) -> SearchIndex:
