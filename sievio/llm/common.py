@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import posixpath
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -14,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPO = str(Path(__file__).resolve().parents[2])
-SPACE = r"\x20\x09-\x0D"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -34,7 +35,9 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="sievio-shared-")
+        own = tempfile.mkdtemp(prefix="sievio-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = "file://" + own
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root:
         root = ("file://" if root.startswith("/") else "file:") + root

@@ -221,7 +221,9 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
             for g in set(groups) & set(known):
                 own = np.flatnonzero(groups == g)
                 sims = _unit([vecs[i] for i in own]) @ known[g].T
-                order = np.argsort(-sims, axis=1)[:, :CELLS_MOST]
+                c = min(CELLS_MOST, sims.shape[1])
+                order = np.argpartition(-sims, c - 1, axis=1)[:, :c]
+                order = np.take_along_axis(order, np.argsort(-np.take_along_axis(sims, order, 1), axis=1, kind="stable"), 1)
                 top = np.take_along_axis(sims, order, 1)
                 near = (top[:, :1] - top <= MARGIN) | (np.arange(order.shape[1]) < CELLS_LEAST)
                 for i, o, k in zip(own, order, near):
