@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import basic, packed, unpacked
+from .common import basic, packed, staged, unpacked
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Knots (time, weights of the repeating classes of sources). The default holds 5, 2, 1 throughout.
@@ -82,16 +82,19 @@ def placed(docs: DataFrame, schedule=CONSTANT, most: int = MOST, seed: int = 0)
     one source; equal ids go by size."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
-    sized = sized.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, BUCKET_DIGITS))
-    parts = sized.groupBy("source", "_part").agg(F.sum("size").alias("_part_size"))
+    # A source's name that is never null: the window and the join share one partitioning, so that rows move once.
+    name = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
+    sized = sized.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, BUCKET_DIGITS)).withColumn("_src", name)
+    # A line for each part of a source; written, so that the texts are read for it once only.
+    parts = staged(sized.groupBy("_src", "source", "_part").agg(F.sum("size").alias("_part_size")), "mix-parts")
     sources = targets(parts.groupBy("source").agg(F.sum("_part_size").alias("source_size")), schedule, most)
-    earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_src").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_ahead", F.coalesce(F.sum("_part_size").over(earlier), F.lit(0)))
-    parts = parts.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), F.col("_part").alias("_p"), "_ahead", "source_size", "class", "weight", "target")
-    within = Window.partitionBy("source", "_part").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("_src", "_part", "_ahead", "source_size", "class", "weight", "target")
+    within = Window.partitionBy("_src", "_part").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     sized = sized.withColumn("_in_part", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = sized.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
-    return joined.withColumn("before", F.col("_ahead") + F.col("_in_part")).drop("_ahead", "_in_part", "_s", "_p", "_part", "_key")
+    joined = sized.join(parts, ["_src", "_part"])
+    return joined.withColumn("before", F.col("_ahead") + F.col("_in_part")).drop("_ahead", "_in_part", "_part", "_src", "_key")
 
 
 def mix(docs: DataFrame, schedule=CONSTANT, most: int = MOST, seed: int = 0) -> DataFrame:
