@@ -31,6 +31,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 #: Elements that hold no article text.
 _APART = frozenset("head nav footer aside form button menu dialog fieldset datalist option input".split())
 _MAIN = frozenset(("article", "main"))
+#: Elements that are a piece of a text: a name such as entry-title or intro-text on one says nothing about what lies around it.
+_PIECES = _INLINE | frozenset("h1 h2 h3 h4 h5 h6 hgroup header p pre blockquote ul ol li dl dt dd figure figcaption address caption thead tfoot th summary legend".split())
 #: Parts of a class, id or role that name something other than the article.
 _NOISE = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promos promoted promotion
@@ -52,12 +54,12 @@ WEIGHTS = {
 
 
 class _Run:
-    """Words between two tags: their block, the elements around them and their standing."""
+    """Words between two tags: their block, the elements around them, their standing and whether an element that is an article by its tag or role holds them."""
 
-    __slots__ = ("text", "block", "path", "standing", "at")
+    __slots__ = ("text", "block", "path", "standing", "at", "article")
 
-    def __init__(self, text, block, path, standing, at):
-        self.text, self.block, self.path, self.standing, self.at = text, block, path, standing, at
+    def __init__(self, text, block, path, standing, at, article):
+        self.text, self.block, self.path, self.standing, self.at, self.article = text, block, path, standing, at, article
 
 
 def _named(attributes: str) -> tuple[int, bool]:
@@ -79,7 +81,7 @@ def _named(attributes: str) -> tuple[int, bool]:
 def _read(page: str, soft: bool = True) -> tuple[list[_Run], list[tuple[int, str]]]:
     """The runs of words and the tags (place, name) of a page, in order. Without `soft`, names that may also lie around an article don't count."""
     runs, tags = [], []
-    stack: list[tuple[str, int, int, bool]] = []  # name, number, apart (as _named), main
+    stack: list[tuple[str, int, int, int]] = []  # name, number, apart (as _named), main (1 by a name, 2 by tag or role)
     block = number = at = place = 0
     links = 0
 
@@ -87,9 +89,9 @@ def _read(page: str, soft: bool = True) -> tuple[list[_Run], list[tuple[int, str
         nonlocal place
         if raw:
             apart = bool(stack) and stack[-1][2] > 0
-            main = bool(stack) and stack[-1][3]
+            main = stack[-1][3] if stack else 0
             standing = "apart" if apart else "link" if links and not main else "main" if main else "plain"
-            runs.append(_Run(raw, block, tuple(s[1] for s in stack if s[0] not in _INLINE), standing, place))
+            runs.append(_Run(raw, block, tuple(s[1] for s in stack if s[0] not in _INLINE), standing, place, main == 2))
             place += 1
 
     for m in _TOKEN.finditer(page):
@@ -122,7 +124,7 @@ def _read(page: str, soft: bool = True) -> tuple[list[_Run], list[tuple[int, str
             while stack and (stack[-1][0] in _INLINE or stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "td", "th", "tr", "dt", "dd", "option")):
                 links -= stack[-1][0] == "a"
                 stack.pop()
-        up_apart, up_main = (stack[-1][2], stack[-1][3]) if stack else (0, False)
+        up_apart, up_main = (stack[-1][2], stack[-1][3]) if stack else (0, 0)
         attributes, number = m["attr"], number + 1
         level, content = _named(attributes) if attributes and name not in ("html", "body") else (0, False)
         if level == 1 and (not soft or up_main and "header" in attributes.lower()):
@@ -135,7 +137,7 @@ def _read(page: str, soft: bool = True) -> tuple[list[_Run], list[tuple[int, str
             level = 1
         as_main = name in _MAIN or re.search(r"""role\s*=\s*["']?main\b|itemprop\s*=\s*["']?articleBody""", attributes) is not None
         apart = 0 if up_apart == 1 and not level and as_main else max(up_apart, level)
-        main = not apart and (up_main or as_main or content)
+        main = 0 if apart else max(up_main, 2 if as_main else 1 if content and name not in _PIECES else 0)
         stack.append((name, number, apart, main))
         links += name == "a"
     text(page[at:])
@@ -187,12 +189,15 @@ def _extract(runs: list[_Run], tags: list[tuple[int, str]], weights: dict) -> st
         while k < min(len(shared), len(r.path)) and shared[k] == r.path[k]:
             k += 1
         shared = shared[:k]
-    in_main = any(r.standing == "main" for r in core)
+    # Within the stretch a run is left out only beside an article that holds most of the words; elsewhere names only widen the stretch.
+    words = sum(len(r.text.split()) for r in core)
+    in_article = 2 * sum(len(r.text.split()) for r in core if r.article) >= words
+    in_main = in_article or 2 * sum(len(r.text.split()) for r in core if r.standing == "main") >= words
     blocks: dict[int, list[str]] = {}
     for r in runs:
         inside = r.path[: len(shared)] == shared
-        kept = r.standing == "main" if in_main else r.standing == "plain" or r.standing == "link" and first <= r.at <= last
-        if inside and kept or first <= r.at <= last and r.standing not in ("apart",) and not in_main:
+        kept = r.standing == "main" or r.standing == "plain" and not in_main
+        if inside and kept or first <= r.at <= last and r.standing != "apart" and not in_article:
             blocks.setdefault(r.block, []).append(r.text)
     lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks.values())
     return "\n".join(line for line in lines if line)

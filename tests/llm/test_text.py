@@ -210,3 +210,23 @@ VARIANTS = {
 @pytest.mark.parametrize("name", VARIANTS)
 def test_page_variants(name):
     assert extract(VARIANTS[name]) == "Title here now\nFirst para with words enough.\nSecond para with more words."
+
+
+FIRST, SECOND = "<p>First para with words enough to be the body of it.</p>", "<p>Second para with more words.</p>"
+NAMED = {
+    "heading": f'<h1 class="entry-title">Title here now</h1><div>{FIRST}{SECOND}</div>',
+    "named heading in a box": f'<div class="entry-title">Title here now</div><div>{FIRST}{SECOND}</div>',
+    "paragraph": f'<h1>Title here now</h1>{FIRST.replace("<p>", "<p class=intro-text>")}{SECOND}',
+    "box of one paragraph": f'<h1>Title here now</h1><div class="text">{FIRST}</div>{SECOND}',
+    "box of most": f'<h1>Title here now</h1><div class="story-text">{FIRST}</div><div>{SECOND}</div>',
+    "teaser": f"<article>Title here now</article><div>{FIRST}{SECOND}</div>",
+}
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_named_piece_is_not_the_article(name):
+    assert extract(NAMED[name]) == "Title here now\nFirst para with words enough to be the body of it.\nSecond para with more words."
+
+
+def test_beside_an_article():
+    assert extract(f"<article><h1>Title here now</h1>{FIRST}{SECOND}</article><div>Site words</div>").endswith("more words.")
