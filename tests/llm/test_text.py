@@ -75,6 +75,18 @@ def test_ownership(spark):
     assert text[0] == f"{shared} number 0" and text[10] == "x [SECRET]' y [SECRET]"
 
 
+UNQUOTED = ["aws_secret_access_key={}", "export SERVICE_KEY={}\n", "see https://host/path?id=5&sig={}&x=1", "a = {}", "=={}"]
+
+
+def test_unquoted_values(spark):
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq0KEYab12"
+    values = [f"{value[:-1]}{i}" for i in range(len(UNQUOTED))]
+    table = spark.createDataFrame([(i, t.format(v), "s") for i, (t, v) in enumerate(zip(UNQUOTED, values))], "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["spans"] for r in secrets(table).collect()}
+    assert found == {i: f"live:{t.index('{')}:{t.index('{') + len(value)}" for i, t in enumerate(UNQUOTED)}
+    assert {r["doc_id"]: r["text"] for r in redacted(table).collect()} == {i: t.format("[SECRET]") for i, t in enumerate(UNQUOTED)}
+
+
 def test_redacted_keeps_rows(docs):
     out = redacted(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
