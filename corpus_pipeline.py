@@ -45,7 +45,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; secrets that look live are replaced, examples that many sources hold stay."""
+    """All documents; secrets that look live are replaced, examples that many sources or very many texts hold stay."""
     return redacted(docs)
 
 

@@ -1,8 +1,8 @@
 """Operator 7: secret scans with corpus-wide ownership.
 
 Candidates are found in each text; hashes of their values are counted over the corpus by
-distinct documents (repositories) and sources (owners). A value that many owners hold is a
-copied example; one that few hold looks live."""
+distinct documents (repositories) and sources (owners). A value that many owners or very many
+repositories hold is a copied example; one that few hold looks live."""
 
 from __future__ import annotations
 
@@ -27,6 +27,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 #: A value that at least so many sources hold is an example.
 EXAMPLE_OWNERS = 5
+#: So is one that at least so many repositories hold, whoever owns them. High, as a live secret that is taken for an example stays in the text.
+EXAMPLE_REPOSITORIES = 1000
 #: Bits a character that an opaque candidate has at least.
 ENTROPY = 3.5
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -81,7 +83,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Per value: n_repositories (distinct texts) and n_owners (distinct sources) that hold it.
+    """Per value: n_repositories (an owner's distinct texts, over all owners) and n_owners (distinct sources) that hold it.
 
     Equal (value, owner, text) rows are merged before the shuffle, then the texts of an owner, then
     the owners, so a value that a third of all rows hold is a handful of rows when it is shuffled."""
@@ -90,14 +92,14 @@ def ownership(found: DataFrame) -> DataFrame:
     return owned.groupBy("value").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def decided(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Per row with candidates, by `row`: its spans with `live`, whether few owners hold the value."""
+def decided(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """Per row with candidates, by `row`: its spans with `live`, whether few owners and not very many repositories hold the value, and both counts."""
     hit = found.filter(F.size("spans") > 0)
     owners = staged(ownership(hit), "secret-owners")
     each = hit.select("row", F.explode("spans").alias("s")).select("row", "s.*")
     # A span's value in the fewest rows: a hot value meets one line of `owners`, which AQE splits at need.
-    each = each.join(owners, "value").withColumn("live", F.col("n_owners") < example_owners)
-    return each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"))
+    each = each.join(owners, "value").withColumn("live", (F.col("n_owners") < example_owners) & (F.col("n_repositories") < example_repositories))
+    return each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "n_repositories", "n_owners"))).alias("spans"))
 
 
 def _joined(spans):
@@ -105,27 +107,30 @@ def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Per document: n_assign, n_access, n_hex, base_sha256, spans, and n_live, n_example, n_added.
+def secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """Per document: n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_added, and the
+    counts of repositories and owners that hold the value of each of `spans`, in their order.
 
-    Base spans stay whatever their ownership; opaque candidates are added, as kind `live`, where few
-    owners hold them. A null text is empty; a null source is an owner of its own; repeated rows count
+    Base spans stay whatever their ownership; opaque candidates are added, as kind `live`, where they
+    look live. A null text is empty; a null source is an owner of its own; repeated rows count
     as one repository. An empty table gives no rows; other columns are ignored."""
     found = candidates(basic(docs, "doc_id", "source", "text")).drop("text").withColumn("row", F.monotonically_increasing_id())
     found = staged(found, "secret-candidates")
-    known = decided(found, example_owners).withColumnRenamed("spans", "known")
+    known = decided(found, example_owners, example_repositories).withColumnRenamed("spans", "known")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     rows = found.join(known, "row", "left")
-    kept = F.coalesce(F.filter("known", lambda s: (s["kind"] < 3) | s["live"]), F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>"))
+    kept = F.coalesce(F.filter("known", lambda s: (s["kind"] < 3) | s["live"]), F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,n_repositories:bigint,n_owners:bigint>>"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    held = lambda n: F.array_join(F.transform(kept, lambda s: s[n].cast("string")), ",")
     return rows.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(kept).alias("spans"),
         F.size(F.filter(kept, lambda s: s["live"])).cast("long").alias("n_live"), F.size(F.filter(kept, lambda s: ~s["live"])).cast("long").alias("n_example"), F.size(F.filter(kept, lambda s: s["kind"] == 3)).cast("long").alias("n_added"),
+        held("n_repositories").alias("repositories"), held("n_owners").alias("owners"),
     )
 
 
-def redacted(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every live-looking secret of the text replaced by `mark`; examples that many owners hold stay.
+def redacted(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str = "[SECRET]", example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """docs with every live-looking secret of the text replaced by `mark`; examples that many owners or very many repositories hold stay.
 
     Overlapping spans are replaced as one. n_chars, where there is one, follows the text; all rows stay."""
     columns, schema = docs.columns, docs.schema
@@ -133,7 +138,7 @@ def redacted(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str =
     docs = packed(docs, *kept)
     names = docs.columns
     found = staged(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "secret-rows")
-    live = decided(found, example_owners).select("row", F.filter("spans", lambda s: s["live"]).alias("cuts")).filter(F.size("cuts") > 0)
+    live = decided(found, example_owners, example_repositories).select("row", F.filter("spans", lambda s: s["live"]).alias("cuts")).filter(F.size("cuts") > 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")

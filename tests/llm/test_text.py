@@ -75,6 +75,18 @@ def test_ownership(spark):
     assert text[0] == f"{shared} number 0" and text[10] == "x [SECRET]' y [SECRET]"
 
 
+def test_repositories_decide_too(spark):
+    """An example in very many texts of one source; as many rows of one text are one repository."""
+    example, own = "token=ABCDEFGHIJKLMNOP", "token=QRSTUVWXYZABCDEF"
+    table = spark.createDataFrame([(i, f"{example} number {i}", "s") for i in range(1000)] + [(1000 + i, own, "s") for i in range(1000)], "doc_id long, text string, source string")
+    r = {x["doc_id"]: x for x in secrets(table).collect()}
+    assert all((r[i]["n_example"], r[i]["n_live"], r[i]["repositories"], r[i]["owners"]) == (1, 0, "1000", "1") for i in range(1000))
+    assert all((r[i]["n_example"], r[i]["n_live"], r[i]["repositories"], r[i]["owners"]) == (0, 1, "1", "1") for i in range(1000, 2000))
+    text = {x["doc_id"]: x["text"] for x in redacted(table).collect()}
+    assert text[0] == f"{example} number 0" and text[1000] == "[SECRET]"
+    assert {x["n_live"] for x in secrets(table.filter("doc_id < 999")).collect()} == {1}
+
+
 UNQUOTED = ["aws_secret_access_key={}", "export SERVICE_KEY={}\n", "see https://host/path?id=5&sig={}&x=1", "a = {}", "=={}"]
 
 
