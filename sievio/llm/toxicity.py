@@ -32,7 +32,7 @@ SUPPORT = 8
 IMPURE = 0.1
 PREFIXES = range(4, 9)
 
-_LOOKALIKES = dict(zip("аеіорсухѕјһԁӏкмтнвгαεικνορτυχωβγδ", "aeiopcyxsjhdlkmthbraeikvoptuxwbyd")) | dict(zip("01l2345789@$+!|", "oiizeastbgastii"))
+_LOOKALIKES = dict(zip("аеіорсухѕјһԁӏкмтнвгαεικνορτυχωβγδ", "aeiopcyxsjhdikmthbraeikvoptuxwbyd")) | dict(zip("01l2345789@$+!|", "oiizeastbgastii"))
 
 
 class _Fold(dict):

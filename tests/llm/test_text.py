@@ -21,6 +21,12 @@ def test_folding():
     assert tox.fold("you s.t-u p i d a b") == ["you", "s", "t", "u", "p", "i", "d", "a", "b", "stupidab"] and tox.fold("a b c") == ["a", "b", "c"]
 
 
+def test_lookalikes_fold_as_their_letters():
+    """A look-alike gives what the letter it stands for gives; the palochka stands for l."""
+    assert tox.fold("\u04cfoser c\u04c0own") == tox.fold("loser clown")
+    assert all(tox.fold(p) == [p] for p in {p for p in tox._LOOKALIKES.values()})
+
+
 def test_toxicity_learns(spark, docs, empty):
     clean = [(i, f"word{i % 7} alpha beta w{i % 11} gamma the idiotic-free{i % 5} text") for i in range(200)]
     bad = [(1000 + i, f"word{i % 7} x{i} scumbag y{i} m0ron z{i % 13} moron scumbags") for i in range(60)]
