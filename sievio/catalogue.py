@@ -63,6 +63,12 @@ def vectors(spark, sf_dir) -> SearchIndex:
     return _made(spark, sf_dir, "vectors", lambda: SearchIndex.over(t, "vectors", "vec_id", {"indexedFields": ["v"], "facetFields": ["v"]}))
 
 
+def whole_vectors(spark, sf_dir) -> SearchIndex:
+    """embeddings: all components, times 100 and rounded, as a list of numbers."""
+    t = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("double")).alias("v"))
+    return _made(spark, sf_dir, "whole_vectors", lambda: SearchIndex.over(t, "whole_vectors", "vec_id", {"indexedFields": ["v"], "facetFields": ["v"]}))
+
+
 def nested(spark, sf_dir) -> SearchIndex:
     """part with objects and lists of objects."""
     t = table(spark, sf_dir, "part").select(
@@ -86,7 +92,7 @@ def spaced(spark, sf_dir) -> SearchIndex:
     return _made(spark, sf_dir, "spaced", lambda: SearchIndex.over(table(spark, sf_dir, "part"), "spaced", "p_partkey", {"indexedFields": ["p_name"]}, analyzer="whitespace"))
 
 
-_KEYS = {"part": "p_partkey", "part_words": "p_partkey", "documents": "doc_id", "events": "event_id", "labels": "doc_id", "vectors": "vec_id", "nested": "p_partkey", "abbreviations": "p_partkey", "two_fields": "p_partkey", "spaced": "p_partkey"}
+_KEYS = {"part": "p_partkey", "part_words": "p_partkey", "documents": "doc_id", "events": "event_id", "labels": "doc_id", "vectors": "vec_id", "whole_vectors": "vec_id", "nested": "p_partkey", "abbreviations": "p_partkey", "two_fields": "p_partkey", "spaced": "p_partkey"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -134,6 +140,11 @@ _V = "SELECT vec_id FROM (SELECT vec_id, list_transform(embedding[1:3], lambda x
 _flt("flt_numlist_eq", vectors, {"v": 5}, _V + "list_contains(v, 5.0)")
 _flt("flt_numlist_gt", vectors, {"v": {"$gt": 12}}, _V + "len(list_filter(v, lambda x: x > 12)) > 0")
 _flt("flt_numlist_and_array", vectors, {"v": [{"$gt": 5}, {"$lt": -5}]}, _V + "len(list_filter(v, lambda x: x > 5)) > 0 AND len(list_filter(v, lambda x: x < -5)) > 0")
+_LIST = "list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 100))"
+_WV = f"SELECT vec_id FROM (SELECT vec_id, {_LIST} AS v FROM embeddings) WHERE "
+_flt("flt_numlist_eq_whole", whole_vectors, {"v": 5}, _WV + "list_contains(v, 5.0)")
+_flt("flt_numlist_gt_whole", whole_vectors, {"v": {"$gt": 12}}, _WV + "len(list_filter(v, lambda x: x > 12)) > 0")
+_flt("flt_numlist_and_array_whole", whole_vectors, {"v": [{"$gt": 5}, {"$lt": -5}]}, _WV + "len(list_filter(v, lambda x: x > 5)) > 0 AND len(list_filter(v, lambda x: x < -5)) > 0")
 _flt("flt_missing_ne", labels, {"n": {"$ne": 4}}, "SELECT doc_id FROM labels WHERE NOT coalesce(quality = 1 AND doc_id = 4, false)")
 _flt("flt_empty_lists", part, {"$or": [{"p_size": {"$or": []}}, {"p_size": {"$nin": []}, "p_type": "PROMO"}]}, _P + "p_type = 'PROMO'")
 
@@ -211,6 +222,7 @@ _TOP = "SELECT field, key, count FROM (SELECT *, row_number() OVER (PARTITION BY
 _facet("facet_string", part, {}, _TOP.format("SELECT 'p_brand' AS field, p_brand AS key, count(*) AS count FROM part GROUP BY p_brand", 10), ["p_brand"])
 _facet("facet_string_list", part_words, {}, _TOP.format("SELECT 'words' AS field, w AS key, count(*) AS count FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w", 10), ["words"])
 _facet("facet_number", vectors, {}, _TOP.format("SELECT 'v' AS field, printf('%f', x) AS key, count(*) AS count FROM (SELECT unnest(list_transform(embedding[1:3], lambda x: floor(CAST(x AS DOUBLE) * 100))) AS x FROM embeddings) GROUP BY x", 10), ["v"])
+_facet("facet_number_whole", whole_vectors, {}, _TOP.format(f"SELECT 'v' AS field, printf('%f', x) AS key, count(*) AS count FROM (SELECT unnest({_LIST}) AS x FROM embeddings) GROUP BY x", 10), ["v"])
 _BOTH = "SELECT 'p_brand' AS field, p_brand AS key, count(*) AS count FROM part {w} GROUP BY p_brand UNION ALL SELECT 'p_type', p_type, count(*) FROM part {w} GROUP BY p_type"
 _facet("facet_all_fields_topk", part, {}, _TOP.format(_BOTH.format(w=""), 5), k=5)
 _WHERE = "WHERE " + _HAS.format("starts_with(w, 'wid')") + " AND p_size > 10"
@@ -232,9 +244,11 @@ _agg("agg_avg", part, {"aggs": {"a": {"avg": {"field": "p_size"}}}}, "SELECT rou
 _agg("agg_stats", part, {"aggs": {"a": {"stats": {"field": "p_size"}}}}, "SELECT round(avg(p_size), 3) AS a_avg, CAST(sum(p_size) AS DOUBLE) AS a_sum, CAST(min(p_size) AS DOUBLE) AS a_min, CAST(max(p_size) AS DOUBLE) AS a_max, count(*) AS a_count FROM part")
 _agg("agg_cardinality_str", part, {"aggs": {"a": {"cardinality": {"field": "p_brand"}}}}, "SELECT count(DISTINCT p_brand) AS a_value FROM part")
 _agg("agg_cardinality_numlist", vectors, {"aggs": {"a": {"cardinality": {"field": "v"}}}}, "SELECT count(DISTINCT x) AS a_value FROM (SELECT unnest(list_transform(embedding[1:3], lambda x: floor(CAST(x AS DOUBLE) * 100))) AS x FROM embeddings)")
+_agg("agg_cardinality_numlist_whole", whole_vectors, {"aggs": {"a": {"cardinality": {"field": "v"}}}}, f"SELECT count(DISTINCT x) AS a_value FROM (SELECT unnest({_LIST}) AS x FROM embeddings)")
 _agg("agg_multi", part, {"aggs": {"a": {"max": {"field": "p_size"}}, "b": {"avg": {"field": "p_retailprice"}}, "c": {"cardinality": {"field": "p_type"}}}}, "SELECT CAST(max(p_size) AS DOUBLE) AS a_value, round(avg(p_retailprice), 3) AS b_value, count(DISTINCT p_type) AS c_value FROM part")
 _agg("agg_filtered", part, {"filter": {"p_type": "SMALL"}, "q": "red ", "aggs": {"a": {"stats": {"field": "p_size"}}}}, f"SELECT round(avg(p_size), 3) AS a_avg, CAST(sum(p_size) AS DOUBLE) AS a_sum, CAST(min(p_size) AS DOUBLE) AS a_min, CAST(max(p_size) AS DOUBLE) AS a_max, count(*) AS a_count FROM part WHERE p_type = 'SMALL' AND {_HAS.format('w = %s' % repr('red'))}")
 _agg("agg_numlist_last", vectors, {"aggs": {"a": {"max": {"field": "v"}}, "b": {"min": {"field": "v"}}}}, "SELECT max(floor(CAST(embedding[3] AS DOUBLE) * 100)) AS a_value, min(floor(CAST(embedding[3] AS DOUBLE) * 100)) AS b_value FROM embeddings")
+_agg("agg_numlist_last_whole", whole_vectors, {"aggs": {"a": {"max": {"field": "v"}}, "b": {"min": {"field": "v"}}}}, "SELECT max(floor(CAST(embedding[-1] AS DOUBLE) * 100)) AS a_value, min(floor(CAST(embedding[-1] AS DOUBLE) * 100)) AS b_value FROM embeddings")
 _agg("agg_missing_zero", labels, {"aggs": {"a": {"avg": {"field": "n"}}, "b": {"min": {"field": "n"}}}}, "SELECT round(avg(CASE WHEN quality = 1 THEN doc_id ELSE 0 END), 3) AS a_value, CAST(min(CASE WHEN quality = 1 THEN doc_id ELSE 0 END) AS DOUBLE) AS b_value FROM labels")
 
 
