@@ -1,10 +1,10 @@
-"""Operator 4: exact removal of repeated byte strings by longest previous factors.
+"""Operator 4: exact removal of repeated byte strings by sorting windows of fixed length.
 
 Every string of LENGTH bytes belongs to the anchor that its own bytes choose: the GRAM-byte
 substring with the least hash. Equal strings have equal anchors, so all copies of a string
 meet in its anchor's group, and a group whose anchor occurs once needs no text at all. In a
-group the strings are put in suffix order; a string whose longest previous factor, seen from
-the previous and next smaller positions in that order, reaches LENGTH starts a copy."""
+group the strings are sorted, with ties by position; one with an equal string before it starts a
+copy. That stands in for its longest previous factor, of which only whether it reaches LENGTH counts."""
 
 from __future__ import annotations
 
