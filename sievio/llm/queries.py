@@ -12,7 +12,7 @@ from .embeddings import near_vectors
 from .encoding import vocabulary
 from .mixing import mix
 from .packing import pack
-from .pages import main_texts
+from .pages import learned, main_texts
 from .search import ORACLE as search_sql
 from .search import search
 from .secrets import secrets
@@ -64,7 +64,9 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_texts(_table(spark, sf_dir, "pages"))
+    """Weights are learned from the pages whose addresses name documents; every page is read with them."""
+    pages = _table(spark, sf_dir, "pages")
+    return main_texts(pages, learned(pages, _table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

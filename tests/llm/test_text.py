@@ -3,14 +3,18 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sievio.llm import toxicity as tox
 from sievio.llm.mixing import CONSTANT, mix, training_order
-from sievio.llm.pages import best_stretch, extract, fit, main_texts
+from sievio.llm import pages as pg
+from sievio.llm.pages import best_stretch, extract, fit, learned, main_texts
 from sievio.llm.search import search
 from sievio.llm.secrets import redacted, secrets
 from sievio.llm.substrings import remove_repeats
@@ -260,3 +264,56 @@ def test_named_piece_is_not_the_article(name):
 
 def test_beside_an_article():
     assert extract(f"<article><h1>Title here now</h1>{FIRST}{SECOND}</article><div>Site words</div>").endswith("more words.")
+
+
+@given(st.lists(st.integers(-5, 5), max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_best_stretch_of_all_intervals(scores):
+    first, last = best_stretch([float(s) for s in scores])
+    most = max((sum(scores[a : b + 1]) for a in range(len(scores)) for b in range(a, len(scores))), default=0)
+    assert sum(scores[first : last + 1]) == max(0, most)
+
+
+SIDE = "<ul><li>Site map</li><li>Imprint</li><li>Terms</li></ul>"
+
+
+def test_scan_and_weights_decide(monkeypatch):
+    """Short items without any name or link stand outside the best stretch; with flat weights, or without the scan, they don't."""
+    page = f"{SIDE}<h1>Title here now</h1>{FIRST}{SECOND}{SIDE}"
+    want = "Title here now\nFirst para with words enough to be the body of it.\nSecond para with more words."
+    assert extract(page) == want
+    flat = pg.PRIOR | {k: 1.0 for k in ("main", "plain", "beside", "link", "apart")} | {"tag": {}, "other": 0.0}
+    assert extract(page, flat) != want and "Site map" in extract(page, flat)
+    monkeypatch.setattr(pg, "best_stretch", lambda scores: (0, len(scores) - 1))
+    assert "Site map" in extract(page)
+
+
+def test_broken_markup_loses_nothing():
+    teaser = '<div class="content-teaser"><p>Read our new story</p></div><div id="x">' + "<p>A sentence of the article stands here.</p>" * 6 + "</div>"
+    assert extract(teaser) == "\n".join(["A sentence of the article stands here."] * 6)
+    for name in ("video", "object", "audio", "select", "textarea"):
+        assert extract(f"<p>One two <{name} x=y>three four</p>") == "One two three four", name
+    assert extract("<title>One two three four") == "One two three four"
+    assert extract("<p>Let <math><mi>x</mi></math> be any number of these</p>") == "Let x be any number of these"
+    assert extract('<p title="x>Hello there</p><p class="y">World is big</p>') == "Hello there\nWorld is big" == extract('<p title="x>Hello there</p><p>World is big</p>')
+    assert extract('<p data-tip="<b>no</b>" title="a > b">Real text is here</p>') == "Real text is here"
+
+
+@pytest.mark.parametrize("page", ["<div>a " * 30_000, '<a "\'>' * 30_000 + "text is here", "<video>" * 30_000 + "text is here", "<" * 200_000, '<p a="' * 30_000, "<div>" * 20_000 + "</section>" * 20_000])
+def test_long_and_deep_pages(page):
+    began = time.time()
+    extract(page)
+    assert time.time() - began < 10
+
+
+def test_weights_are_learned(spark, sf, empty):
+    """The distributed counts give what one pass over the same pages gives; names that the lists don't know weigh as labelled pages show them."""
+    pages, documents = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    named = [(r["html"], texts.get(int(m[1]))) for r in pages.collect() if (m := re.search(r"/(\d+)(?:\.\w+)?/?(?:[?#].*)?$", r["url"] or ""))]
+    assert learned(pages, documents) == fit([(h, t) for h, t in named if h and t is not None])
+    assert learned(pages.limit(0), documents) == learned(pages, empty) == pg.weighed(Counter())
+    body = " ".join(f"w{i}" for i in range(40))
+    odd = [(f'<div class="zzbox">A site box with nine words in it now</div><div class="sidebar"><p>{body}</p></div>', body)] * 20
+    weights = fit(odd)
+    assert weights["within"][".zzbox"] < 0 < weights["within"][".sidebar"] and extract(odd[0][0], weights) == body != extract(odd[0][0])
