@@ -1,19 +1,23 @@
-"""Operator 4: exact removal of repeated byte strings by sorting windows of fixed length.
+"""Operator 4: exact removal of repeated byte strings by longest previous factors.
 
 Every string of LENGTH bytes belongs to the anchor that its own bytes choose: the GRAM-byte
 substring with the least hash. Equal strings have equal anchors, so all copies of a string
-meet in its anchor's group, and a group whose anchor occurs once needs no text at all. In a
-group the strings are sorted, with ties by position; one with an equal string before it starts a
-copy. That stands in for its longest previous factor, of which only whether it reaches LENGTH counts."""
+meet in its anchor's group, and a group whose anchor occurs once needs no text at all. The
+blocks of text of groups are put one after another in the order of the documents, and their
+suffixes sorted. The nearest smaller positions before and after a suffix in that order are its
+two best earlier matches; the longer of their common prefixes with it is its longest previous
+factor. Where that reaches LENGTH, a string starts that was seen before."""
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +26,15 @@ from .common import basic, get_file, prepare, put_file, shared_path, staged, tex
 
 LENGTH = 100
 GRAM = 24
+#: Occurrences beyond which an anchor's group is split by the hashes of its whole strings.
+HOT = 1 << 16
+#: Distinct blocks of a part that are held to send equal ones once.
+HELD = 1 << 18
 _FRAME = 1 << 20
 _POOL = 200_000
 _PLACE = np.uint64((1 << 26) - 1)
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_BLOCKS = "h long, doc_id long, part int, ord int, pos long, n int, block binary"
+_BLOCKS = "h long, doc_id long, tie long, part int, ord int, pos long, n int, block binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,17 +86,76 @@ def anchored(data: np.ndarray, lengths: np.ndarray, length: int = LENGTH) -> tup
     return tuple(np.concatenate(r) for r in zip(*runs)) if runs else none
 
 
-def longest_previous(windows: np.ndarray) -> np.ndarray:
-    """Which of the equal-length strings, given by position, have an equal one before them.
-
-    Suffix order with ties by position: within a run of equal strings the previous smaller
-    position of each is its neighbour before it, and only the first has none, neither there nor
-    after it."""
-    order = np.argsort(windows, kind="stable")
-    ranked = windows[order]
-    previous = np.zeros(len(windows), bool)
-    previous[order[1:]] = ranked[1:] == ranked[:-1]
-    return previous
+def suffix_ranks(symbols: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(k, ranks of all suffixes by their first k symbols) for k = 1 and doubling up to `depth` at least, or until all differ."""
+    n = len(symbols)
+    if n and int(symbols.max()) >= 1 << 30:
+        symbols = np.unique(symbols, return_inverse=True)[1]
+    bits = max(1, int(symbols.max()).bit_length() + 1) if n else 1
+    ranks, k = [(1, symbols.astype(np.int64) + 1)], 1  # 0 is beyond the end
+    pack = 4 if bits <= 15 else 2
+    while k < depth and (k == 1 or int(ranks[-1][1].max(initial=0)) < n):
+        last = ranks[-1][1]
+        if k == 1:  # as many symbols as fit a word are one key
+            key, k = np.zeros(n, np.int64), pack
+            for step in range(pack):
+                key <<= bits
+                key[: max(0, n - step)] |= last[step:]
+        else:
+            key = last * (int(last.max(initial=0)) + 1)
+            key[: max(0, n - k)] += last[k:]
+            k *= 2
+        ranks.append((k, np.unique(key, return_inverse=True)[1].astype(np.int64) + 1))
+    return ranks
+
+
+def _nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, -1 for none: minima of doubling ranges, then down from the widest."""
+    n = len(values)
+    least, span = [values], 1
+    while 2 * span <= n:
+        last = least[-1]
+        least.append(np.minimum(last[:-span], last[span:]))  # least[j][i]: of values[i : i + 2^j]
+        span *= 2
+    end = np.arange(n)  # everything from end on, up to the place, is known not to be smaller
+    for j in range(len(least) - 1, -1, -1):
+        start = end - (1 << j)
+        ok = start >= 0
+        ok[ok] = least[j][start[ok]] >= values[ok]
+        end = np.where(ok, start, end)
+    return end - 1
+
+
+def _common(ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of suffixes a and b, as far as ranks go; 0 where b is negative."""
+    n = len(ranks[0][1])
+    a, b = a.copy(), b.copy()
+    out = np.zeros(len(a), np.int64)
+    for k, rank in [*reversed(ranks), *ranks[:1] * 2]:
+        here = (b >= 0) & (a < n) & (b < n)
+        here[here] = rank[a[here]] == rank[b[here]]
+        for x in (out, a, b):
+            x[here] += k
+    return out
+
+
+def longest_previous_factors(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """For each position the length, at most `depth`, of the longest prefix of its suffix that also starts earlier.
+
+    In suffix order, ties of `depth` symbols by position, the nearest smaller positions on both sides
+    share the longest prefixes with it that any earlier position does."""
+    n = len(symbols)
+    if not n:
+        return np.zeros(0, np.int64)
+    ranks = suffix_ranks(symbols, depth)
+    order = np.argsort(ranks[-1][1], kind="stable")
+    before = _nearest_smaller(order)
+    after = n - 1 - _nearest_smaller(order[::-1])[::-1]
+    known = np.append(order, -1)
+    lpf = np.maximum(_common(ranks, order, known[before]), _common(ranks, order, known[np.where(after < n, after, n)]))
+    out = np.empty(n, np.int64)
+    out[order] = np.minimum(lpf, depth)
+    return out
 
 
 def _write_frame(doc_ids: list, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -97,21 +164,23 @@ def _write_frame(doc_ids: list, texts: list[bytes]) -> tuple[bytes, np.ndarray,
     packed = zstandard.ZstdCompressor(level=1).compress(joined)
     ids = np.array([0 if d is None else d for d in doc_ids], np.int64)
     there = np.array([d is not None for d in doc_ids], np.uint8)
-    return struct.pack("<QQQ", len(texts), len(packed), len(joined)) + ids.tobytes() + there.tobytes() + lengths.tobytes() + packed, np.frombuffer(joined, np.uint8), lengths
+    tie = np.array([zlib.crc32(t) for t in texts], np.uint32)
+    return struct.pack("<QQQ", len(texts), len(packed), len(joined)) + ids.tobytes() + there.tobytes() + tie.tobytes() + lengths.tobytes() + packed, np.frombuffer(joined, np.uint8), lengths
 
 
-def _frames(uri: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(number of the first document, ids, whether there is an id, lengths, bytes) of each frame of a part."""
+def _frames(uri: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the first document, ids, whether there is an id, hashes of the texts, lengths, bytes) of each frame of a part."""
     raw, at, first = memoryview(get_file(uri)), 0, 0
     while at < len(raw):
         n, size, whole = struct.unpack("<QQQ", raw[at : at + 24])
         at += 24
         ids = np.frombuffer(raw[at : at + 8 * n], np.int64)
         there = np.frombuffer(raw[at + 8 * n : at + 9 * n], np.uint8)
-        lengths = np.frombuffer(raw[at + 9 * n : at + 17 * n], np.int64)
-        at += 17 * n
+        tie = np.frombuffer(raw[at + 9 * n : at + 13 * n], np.uint32)
+        lengths = np.frombuffer(raw[at + 13 * n : at + 21 * n], np.int64)
+        at += 21 * n
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[at : at + size], max_output_size=whole) if whole else b"", np.uint8)
-        yield first, ids, there, lengths, data
+        yield first, ids, there, tie, lengths, data
         at, first = at + size, first + n
 
 
@@ -137,13 +206,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, without the bytes of strings seen before.
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a smaller
-    doc_id (null before all; rows of equal id in the order of reading), or earlier in the same
+    doc_id (null before all; rows of equal id by the crc32 of their texts), or earlier in the same
     row. Overlaps count, strings never cross rows and are judged on the input. A null text is
-    empty; an empty table gives no rows; other columns are ignored.
+    empty; a text of any length is worked on in stretches; an empty table gives no rows; other
+    columns are ignored.
 
     The texts lie, compressed, in one file for each part of the scan in the shared folder; all
     that is shuffled are the hashes of anchors, each at most once from a part, and the bytes of
-    those strings whose anchor is repeated, equal ones at most once from a part."""
+    those strings whose anchor is repeated, equal blocks once from a part as far as HELD goes. No
+    group is larger than HOT blocks: that of a commoner anchor is split by whole strings."""
     spark = prepare(docs.sparkSession)
     folder = shared_path(spark, "texts")
     place = f"{folder}/part-%07d"
@@ -175,60 +246,71 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             return
         put_file(place % part, frames)
         h, n = np.unique(np.concatenate(hashes), return_counts=True)
-        names = ["h", "part", "again"]
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([True])], names)
+        names = ["h", "part", "times"]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([0])], names)
         for a in range(0, len(h), 50_000):
             own = h[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), part, np.int32)), pa.array(n[a : a + 50_000] > 1)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), part, np.int32)), pa.array(n[a : a + 50_000])], names)
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Anchors that occur again in their part, or in another; and a null for each part."""
+        """Anchors that occur again in their part, or in another, and whether they are hot; and a null for each part."""
         rows = list(batches)
         if not rows:
             return
         t = pa.Table.from_batches(rows)
         null = t.column(0).combine_chunks().is_null().to_numpy(zero_copy_only=False)
         h = t.column(0).combine_chunks().fill_null(0).to_numpy()
-        part, again = t.column(1).to_numpy(), t.column(2).combine_chunks().to_numpy(zero_copy_only=False)
-        _, where, n = np.unique(h, return_inverse=True, return_counts=True)
-        keep = again | (n[where] > 1) | null
+        part, times = t.column(1).to_numpy(), t.column(2).to_numpy()
+        where = np.unique(h, return_inverse=True)[1]
+        n = np.bincount(where, weights=times)[where]
+        keep = (n > 1) | null
         for a in range(0, int(keep.sum()), 50_000):
             i = np.flatnonzero(keep)[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part[i]), pa.array(h[i], mask=null[i])], ["part", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[i]), pa.array(h[i], mask=null[i]), pa.array(n[i] > HOT)], ["part", "h", "hot"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The strings of repeated anchors, equal blocks once; rows without block are copies within the part."""
         for part, table in _by_part(batches, "part"):
-            wanted = np.unique(table.column("h").combine_chunks().drop_null().to_numpy().view(np.uint64))
+            known = table.column("h").combine_chunks()
+            real = known.is_valid().to_numpy(zero_copy_only=False)
+            wanted = known.fill_null(0).to_numpy().view(np.uint64)[real]
+            hot = np.unique(wanted[table.column("hot").combine_chunks().to_numpy(zero_copy_only=False)[real]])
+            wanted = np.unique(wanted)
             first: dict[bytes, tuple] = {}
-            out: list[tuple] = [(None, None, part, 0, 0, 0, None)]
-            for start, ids, there, lengths, data in _frames(place % part) if len(wanted) else ():
+            out: list[tuple] = [(None, None, 0, part, 0, 0, 0, None)]
+            for start, ids, there, tie, lengths, data in _frames(place % part) if len(wanted) else ():
                 at, n, h = anchored(data, lengths, length)
                 i = np.flatnonzero(np.isin(h, wanted))
+                at, n, h = at[i], n[i], h[i]
+                raw = data.tobytes()
+                split = np.isin(h, hot)
+                if split.any():  # each string of a hot anchor is a block of its own, in the group of its own hash
+                    many = np.where(split, n, 1)
+                    within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    at, n, h, split = np.repeat(at, many) + within, np.repeat(np.where(split, 1, n), many), np.repeat(h, many), np.repeat(split, many)
+                    h[split] = [xxhash.xxh64_intdigest(raw[p : p + length]) for p in at[split].tolist()]
                 ends = np.cumsum(lengths)
-                doc = np.searchsorted(ends, at[i], "right")
+                doc = np.searchsorted(ends, at, "right")
                 begin = ends[doc] - lengths[doc]
-                raw = data.tobytes()
-                for p, m, g, d, b in zip(at[i].tolist(), n[i].tolist(), h[i].view(np.int64).tolist(), doc.tolist(), begin.tolist()):
+                for p, m, g, d, b in zip(at.tolist(), n.tolist(), h.view(np.int64).tolist(), doc.tolist(), begin.tolist()):
                     block = raw[p : p + m + length - 1]
-                    row = (int(there[d]), int(ids[d]), part, start + d, p - b, m, g)
+                    row = (int(there[d]), int(ids[d]), int(tie[d]), part, start + d, p - b, m, g)
                     old = first.get(block)
                     if old is None:
                         first[block] = row
                     else:
                         if row < old:
                             first[block], row = row, old
-                        out.append((None, None, part, row[3], row[4], row[5], None))
+                        out.append((None, None, 0, part, row[4], row[5], row[6], None))
                         if len(out) >= 20_000:
                             yield _rows(out)
                             out = []
-            for block, (is_there, doc_id, _, number, pos, m, g) in first.items():
-                out.append((g, doc_id if is_there else None, part, number, pos, m, block))
-                if len(out) >= 20_000:
-                    yield _rows(out)
-                    out = []
+                if len(first) > HELD:
+                    yield from _firsts(first)
+                    first = {}
             if out:
                 yield _rows(out)
+            yield from _firsts(first)
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs (part, ord, pos, n) of starts of strings that start earlier, too; rows without block pass."""
@@ -243,17 +325,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int32()))], ["part", "ord", "pos", "n"])
 
         def close() -> None:
-            """The first of equal blocks stays; different blocks of the anchor go to the pool."""
+            """Of equal blocks the first stays, which holds the factors of all strings of the others; different blocks of the anchor go to the pool."""
             nonlocal pooled
-            group.sort(key=lambda r: r[1:6])
+            group.sort(key=lambda r: r[1:7])
             first: dict[bytes, tuple] = {}
             for r in group:
-                if first.setdefault(r[7], r) is not r:
-                    found.append(r[3:7])
+                if first.setdefault(r[8], r) is not r:
+                    found.append(r[4:8])
             group.clear()
             if len(first) > 1:
                 pool.extend(first.values())
-                pooled += sum(r[6] for r in first.values())
+                pooled += sum(r[7] for r in first.values())
             if pooled >= _POOL:
                 flush()
 
@@ -265,14 +347,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         # The rows come sorted by anchor: one anchor's blocks, and the pool, are all that is held.
         for batch in batches:
-            for h, doc_id, part, number, pos, n, block in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, doc_id, tie, part, number, pos, n, block in zip(*(c.to_pylist() for c in batch.columns)):
                 if block is None:
                     found.append((part, number, pos, n))
                 else:
                     if h != now:
                         close()
                         now = h
-                    group.append((h, doc_id is not None, doc_id or 0, part, number, pos, n, block))
+                    group.append((h, doc_id is not None, doc_id or 0, tie, part, number, pos, n, block))
                 if len(found) >= 50_000:
                     yield out()
         close()
@@ -286,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             number, pos, n = (table.column(c).to_numpy() for c in ("ord", "pos", "n"))
             order = np.argsort(number, kind="stable")
             number, pos, n = number[order], pos[order], n[order]
-            for start, ids, there, lengths, data in _frames(place % part):
+            for start, ids, there, _, lengths, data in _frames(place % part):
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
                 a, b = np.searchsorted(number, [start, start + len(ids)])
@@ -306,25 +388,39 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     [pa.array(ids, mask=there == 0), pa.array(lengths), pa.array(total[ends] - total[begins]), pa.array(spans[ends] - spans[begins]), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 )
 
-    hashes = basic(docs, "doc_id", "text").mapInArrow(split, "h long, part int, again boolean")
+    hashes = basic(docs, "doc_id", "text").mapInArrow(split, "h long, part int, times long")
     # Nulls mark the parts; they are spread like any hash.
-    again = staged(hashes.repartition(F.coalesce("h", F.col("part").cast("long"))).mapInArrow(repeated, "part int, h long"), "repeated-anchors")
-    shared = again.repartition("part").sortWithinPartitions("part").mapInArrow(blocks, _BLOCKS)
+    again = staged(hashes.repartition(F.coalesce("h", F.col("part").cast("long"))).mapInArrow(repeated, "part int, h long, hot boolean"), "repeated-anchors")
+    # One task for each part: what it reads again is its text, however little it is told.
+    parts = (again.filter("h is null").agg(F.max("part")).first()[0] or 0) + 1
+    shared = again.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(blocks, _BLOCKS)
     runs = shared.repartition(F.coalesce("h", F.xxhash64("part", "ord", "pos"))).sortWithinPartitions("h").mapInArrow(copies, "part int, ord int, pos long, n int")
-    return staged(runs, "copies").repartition("part").sortWithinPartitions("part").mapInArrow(cut, _OUT)
+    return staged(runs, "copies").repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(cut, _OUT)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["h", "doc_id", "part", "ord", "pos", "n", "block"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["h", "doc_id", "tie", "part", "ord", "pos", "n", "block"])
+
+
+def _firsts(first: dict[bytes, tuple]) -> Iterator[pa.RecordBatch]:
+    rows = [(g, doc_id if is_there else None, tie, part, number, pos, m, block) for block, (is_there, doc_id, tie, part, number, pos, m, g) in first.items()]
+    for a in range(0, len(rows), 20_000):
+        yield _rows(rows[a : a + 20_000])
 
 
 def _pool_copies(pool: list[tuple], length: int) -> list[tuple]:
-    """Runs of string starts in the blocks of the pool that an earlier string equals."""
-    pool.sort(key=lambda r: r[1:6])
-    n = np.array([r[6] for r in pool])
-    windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(r[7], np.uint8), length) for r in pool])
-    previous = longest_previous(np.ascontiguousarray(windows).view(f"S{length}").ravel())
+    """Runs of string starts in the blocks of the pool whose longest previous factor reaches `length`.
+
+    Each block ends with a symbol of its own, so that no factor crosses its end."""
+    pool.sort(key=lambda r: r[1:7])
+    n = np.array([r[7] for r in pool])
+    sizes = n + length  # with the end symbol
+    symbols = np.frombuffer(b"".join(r[8] + b"\0" for r in pool), np.uint8).astype(np.int64)
+    stops = np.cumsum(sizes) - 1
+    symbols[stops] = 256 + np.arange(len(pool))
+    starts = np.repeat(stops + 1 - sizes - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    previous = longest_previous_factors(symbols, length)[starts] >= length
     ends = np.cumsum(n)
     begins = np.zeros(len(previous), bool)
     begins[ends - n] = True
@@ -332,4 +428,4 @@ def _pool_copies(pool: list[tuple], length: int) -> list[tuple]:
     stop = np.flatnonzero(np.concatenate([~previous | begins, [True]]))
     last = stop[np.searchsorted(stop, first, "right")]
     row = np.searchsorted(ends, first, "right")
-    return [(pool[r][3], pool[r][4], pool[r][5] + int(f - (ends[r] - n[r])), int(e - f)) for r, f, e in zip(row.tolist(), first.tolist(), last.tolist())]
+    return [(pool[r][4], pool[r][5], pool[r][6] + int(f - (ends[r] - n[r])), int(e - f)) for r, f, e in zip(row.tolist(), first.tolist(), last.tolist())]

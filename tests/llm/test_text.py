@@ -2,10 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from sievio.llm import toxicity as tox
 from sievio.llm.mixing import CONSTANT, mix, training_order
 from sievio.llm import pages as pg
+from sievio.llm import substrings as sub
 from sievio.llm.pages import best_stretch, extract, fit, learned, main_texts
 from sievio.llm.search import search
 from sievio.llm.secrets import redacted, secrets
@@ -167,6 +171,36 @@ def test_repeats(spark, docs, rows, empty):
     assert remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot,held,pool", [(2, 5, 1), (10, 1 << 18, 500), (1 << 16, 3, 10**9)])
+def test_repeats_of_hot_anchors(spark, docs, rows, monkeypatch, hot, held, pool):
+    """Split groups, few blocks held and small pools give the same."""
+    for name, value in (("HOT", hot), ("HELD", held), ("_POOL", pool)):
+        monkeypatch.setattr(sub, name, value)
+    assert Counter(tuple(r) for r in remove_repeats(docs).collect()) == brute_repeats(rows)
+
+
+def test_repeats_of_a_long_text_and_equal_ids(spark):
+    rnd = random.Random(3)
+    make = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared, long = make(500), make(300_000)
+    rows = [(7, long + shared + long[1000:200_000]), (7, make(50) + shared), (7, shared + make(70)), (3, shared[:120]), (None, make(99))]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].encode())))
+    want = brute_repeats(rows)
+    for k in (1, 3):
+        table = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(k)
+        assert Counter(tuple(r) for r in remove_repeats(table).collect()) == want
+
+
+@given(st.lists(st.sampled_from([0, 1, 2, 300, 2**33]), max_size=60), st.integers(1, 70))
+@settings(max_examples=400, deadline=None)
+def test_longest_previous_factors(symbols, depth):
+    def common(i, j):
+        return next((k for k in range(depth) if i + k >= len(symbols) or symbols[i + k] != symbols[j + k]), depth)
+
+    want = [max((common(i, j) for j in range(i)), default=0) for i in range(len(symbols))]
+    assert sub.longest_previous_factors(np.array(symbols, np.int64), depth).tolist() == want
+
+
 def brute_bm25(rows, query, k):
     counts = [(r[0], Counter(re.findall(r"\w+", (r[1] or "").lower()))) for r in rows]
     df = Counter(w for _, c in counts for w in c)
