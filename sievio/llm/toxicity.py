@@ -1,16 +1,17 @@
 """Operator 2: toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, strips marks, maps look-alike letters of other scripts and digits or
-signs that stand for letters to plain ones, and leaves single spaces between words. The
-lexicon holds words and word beginnings with log-odds weights; exception phrases that hold
-an entry without being toxic take its weight back. The sum, alone and by length, goes
-through a logistic curve."""
+Folding lower-cases, strips marks, maps look-alike letters of other scripts, digits, and signs
+between letters to plain letters, and leaves single spaces between words. The lexicon holds
+words and word beginnings with log-odds weights; an exception phrase, which holds an entry
+without being toxic, takes that occurrence of the entry out, once, however many phrases
+hold it. The sum, alone and by the number of words, goes through a logistic curve."""
 
 from __future__ import annotations
 
 import functools
 import json
 import math
+import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -32,7 +33,12 @@ SUPPORT = 8
 IMPURE = 0.1
 PREFIXES = range(4, 9)
 
-_LOOKALIKES = dict(zip("аеіорсухѕјһԁӏкмтнвгαεικνορτυχωβγδ", "aeiopcyxsjhdikmthbraeikvoptuxwbyd")) | dict(zip("01l2345789@$+!|", "oiizeastbgastii"))
+_LOOKALIKES = dict(zip("аеіорсухѕјһԁӏкмтнвгαεικνορτυχωβγδ", "aeiopcyxsjhdikmthbraeikvoptuxwbyd")) | dict(zip("01l2345789", "oiizeastbg"))
+_SIGNS = dict(zip("@$+!|", "astii"))
+#: Signs that letters enclose, and a word that starts with signs.
+_ENCLOSED = re.compile(r"(?<=[^\W_])[@$+!|]+(?=[^\W_])")
+_LEADING = re.compile(r"(?<!\S)[@$+!|]+(?=[^\W_])")
+_PLAIN = str.maketrans(_SIGNS)
 
 
 class _Fold(dict):
@@ -53,46 +59,71 @@ class _Fold(dict):
 _TABLE = _Fold()
 
 
-def fold(text: str) -> list[str]:
-    """The folded words of a text; l and i, which 1 stands for, are one letter. Four or more single letters in a row are also a word."""
-    words = text.lower().translate(_TABLE).split()
-    single = [i for i, w in enumerate(words) if len(w) == 1]
+def _folded(text: str) -> tuple[list[str], int]:
+    """The folded words, and how many of them are the text's own; behind them, other readings of some."""
+    low, other = text.lower(), []
+    if not _SIGNS.keys().isdisjoint(low):
+        low = _ENCLOSED.sub(lambda m: m[0].translate(_PLAIN), low)
+        for m in _LEADING.finditer(low):  # $tupid is stupid, @idiot is idiot: both readings count
+            rest = low[m.end() : m.end() + 64].split(None, 1)[0]
+            other += (m[0].translate(_PLAIN) + rest).translate(_TABLE).split()[:1]
+    words = low.translate(_TABLE).split()
+    n, single = len(words), [i for i, w in enumerate(words) if len(w) == 1]
     if len(single) > 3:
         first = at = single[0]
-        for i in [*single[1:], len(words) + 1]:
+        for i in [*single[1:], n + 1]:
             if i != at + 1:
                 if at - first >= 3:
                     words.append("".join(words[first : at + 1]))
                 first = i
             at = i
-    return words
+    return words + other, n
+
+
+def fold(text: str) -> list[str]:
+    """The folded words of a text; l and i, which 1 stands for, are one letter. Four or more single letters in a row are
+    also a word, and a word that starts with signs is also read with these as letters."""
+    return _folded(text)[0]
 
 
 def _entries(word: str) -> list[str]:
     return [word[:k] for k in PREFIXES if len(word) >= k] + ([word + " "] if len(word) > 2 else [])
 
 
+class _ByWord(dict):
+    """The entries of `known` that a word starts with."""
+
+    def __init__(self, known):
+        self.known, self.sizes = known, sorted({len(e) for e in known})
+
+    def __missing__(self, word: str) -> list[str]:
+        whole = word + " "
+        self[word] = [whole[:k] for k in self.sizes if k <= len(whole) and whole[:k] in self.known]
+        return self[word]
+
+
 def fit(texts: list[tuple[str, int]], support: int = SUPPORT, impure: float = IMPURE) -> dict:
     """Lexicon, exception phrases and curve from (text, toxic) pairs.
 
     An entry has `support` different left neighbours in toxic texts and few clean texts with it;
     an entry that starts with another is dropped, and one that
     nearly always goes on in the same way is lengthened. A phrase (an entry after or before a certain
-    word) that is seen `support` times, almost only in clean texts, is an exception."""
-    folded = [(fold(t), x) for t, x in texts]
+    word) that is in `support` texts, nearly all of them clean, is an exception."""
+    folded = [(*_folded(t), x) for t, x in texts]
     lefts: dict[str, set] = defaultdict(set)
     toxic, clean = Counter(), Counter()
-    for words, x in folded:
+    for words, _, x in folded:
         if x:
             for left, w in {(a, b) for a, b in zip(["", *words], words)}:
                 for e in _entries(w):
                     lefts[e].add(left)
             toxic.update({e for w in set(words) for e in _entries(w)})
     often = {e for e, s in lefts.items() if len(s) >= support}
-    for words, x in folded:
+    with_entry = _ByWord(often)
+    for words, _, x in folded:
         if not x:
-            clean.update({e for w in set(words) for e in _entries(w)} & often)
-    P, N = sum(x for _, x in folded), sum(1 - x for _, x in folded)
+            clean.update({e for w in set(words) for e in with_entry[w]})
+    P, N = sum(x for *_, x in folded), sum(1 - x for *_, x in folded)
     weight = {e: math.log((toxic[e] + 0.5) / (P + 1)) - math.log((clean[e] + 0.5) / (N + 1)) for e in often}
     chosen: list[str] = []
     for e in sorted(often, key=lambda e: (len(e), e)):
@@ -102,19 +133,20 @@ def fit(texts: list[tuple[str, int]], support: int = SUPPORT, impure: float = IM
             if not any(c.startswith(e) for c in chosen):
                 chosen.append(e)
     lexicon = {" " + e: round(weight[e], 4) for e in chosen}
-    phrases, seen = Counter(), Counter()
-    for words, x in folded:
+    phrases, seen, by_word = Counter(), Counter(), _ByWord(set(chosen))
+    for words, _, x in folded:
+        own = set()
         for i, w in enumerate(words):
-            for e in chosen:
-                if (w + " ").startswith(e):
-                    for p in ([f" {words[i - 1]} {e}"] if i else []) + ([f" {w} {words[i + 1]} "] if i + 1 < len(words) else []):
-                        seen[p, e] += 1
-                        phrases[p, e] += 1 - x
-    exceptions = {p: -lexicon[" " + e] for (p, e), n in seen.items() if phrases[p, e] >= max(support, (1 - impure) * n)}
-    model = {"weights": lexicon | exceptions, "curve": [0.0, 0.0, 0.0]}
+            for e in by_word[w]:
+                own |= {(f" {words[i - 1]} {e}", e, len(words[i - 1]) + 1)} if i else set()
+                own |= {(f" {w} {words[i + 1]} ", e, 0)} if i + 1 < len(words) else set()
+        seen.update(own)
+        phrases.update(own if not x else ())
+    exceptions = {p: (-lexicon[" " + e], at) for (p, e, at), n in seen.items() if phrases[p, e, at] >= max(support, (1 - impure) * n)}
+    model = {"weights": lexicon | {p: w for p, (w, _) in exceptions.items()}, "places": {p: at for p, (_, at) in exceptions.items()}, "curve": [0.0, 0.0, 0.0]}
     score = _automaton(json.dumps(model))
-    X = np.array([[1.0, *_features(*_sum(score, words))] for words, _ in folded]).reshape(-1, 3)
-    y = np.array([x for _, x in folded], float)
+    X = np.array([[1.0, *_features(_sum(score, words), n)] for words, n, _ in folded]).reshape(-1, 3)
+    y = np.array([x for *_, x in folded], float)
     b = np.zeros(3)
     for _ in range(25):  # Newton steps; the penalty keeps separable labels finite
         p = 1 / (1 + np.exp(-np.clip(X @ b, -30, 30)))
@@ -126,24 +158,31 @@ def fit(texts: list[tuple[str, int]], support: int = SUPPORT, impure: float = IM
 
 @functools.lru_cache(maxsize=2)
 def _automaton(model: str):
+    """Matches end with (length, weight, place of the entry that an exception phrase holds, -1 for an entry)."""
     import ahocorasick
 
-    a = ahocorasick.Automaton()
-    for entry, w in json.loads(model)["weights"].items():
-        a.add_word(entry, w)
+    a, known = ahocorasick.Automaton(), json.loads(model)
+    for entry, w in known["weights"].items():
+        a.add_word(entry, (len(entry), w, known.get("places", {}).get(entry, -1)))
     if len(a):
         a.make_automaton()
     return a
 
 
-def _sum(automaton, words: list[str]) -> tuple[float, int]:
+def _sum(automaton, words: list[str]) -> float:
+    """The weights of the entries in the words, without those that an exception phrase holds."""
     if not words or not len(automaton):
-        return 0.0, len(words)
-    return sum(w for _, w in automaton.iter(f" {' '.join(words)} ")), len(words)
+        return 0.0
+    hits, taken = [], set()
+    for end, (size, w, at) in automaton.iter(f" {' '.join(words)} "):
+        if at < 0:
+            hits.append((end - size + 1, w))
+        else:
+            taken.add(end - size + 1 + at)
+    return sum(w for start, w in hits if start not in taken)
 
 
 def _features(total: float, n: int) -> tuple[float, float]:
-    total = max(0.0, total)
     return math.log1p(total), math.log1p(100 * total / max(20, n))
 
 
@@ -170,7 +209,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with `score`: 0 to 1, higher where toxic is likelier; null and empty texts are scored as no words."""
+    """docs with `score`: 0 to 1, higher where toxic is likelier; null and empty texts are scored as no words.
+
+    A text of any length is folded and matched whole, in time linear in it. Equal texts get equal scores, so
+    ties stay ties; all rows and columns stay."""
     packed, (b0, b1, b2) = json.dumps(model), model["curve"]
     names, at = docs.columns, docs.columns.index("text")
 
@@ -179,7 +221,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             out = []
             for text in texts_of(batch.column(at)):
-                x, y = _features(*_sum(automaton, fold(text)))
+                words, n = _folded(text)
+                x, y = _features(_sum(automaton, words), n)
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, b0 + b1 * x + b2 * y)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, "score"])
 
@@ -190,6 +233,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
-    A null doc_id is not held out. Repeated rows get equal scores; an empty table gives no rows."""
+    A null doc_id is not held out; a null text is scored as an empty one, a text of any length whole. Repeated
+    rows and equal texts get equal scores. An empty table gives no rows, one without usable labels scores of 0.5.
+    Other columns are ignored."""
     scored = score(basic(docs, "doc_id", "text"), train(docs, labels, rows))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

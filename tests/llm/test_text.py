@@ -35,6 +35,51 @@ def test_lookalikes_fold_as_their_letters():
     assert all(tox.fold(p) == [p] for p in {p for p in tox._LOOKALIKES.values()})
 
 
+def test_signs_are_letters_between_letters_only():
+    assert tox.fold("an ass! id!ot a$$es 5+ you|me") == ["an", "ass", "idiot", "asses", "s", "youime"]
+    assert tox.fold("@idiot !idiot |clown| $tupid") == ["idiot", "idiot", "ciown", "tupid", "aidiot", "iidiot", "iciown", "stupid"]
+
+
+def brute_score(text, model):
+    """Plain substring search, entry by entry."""
+    words, n = tox._folded(text)
+    line, taken = f" {' '.join(words)} ", set()
+    starts = lambda e: [i for i in range(len(line)) if line.startswith(e, i)]
+    for p, at in model["places"].items():
+        taken |= {i + at for i in starts(p)}
+    total = sum(w for e, w in model["weights"].items() if e not in model["places"] for i in starts(e) if i not in taken)
+    b0, b1, b2 = model["curve"]
+    return 1 / (1 + math.exp(-(b0 + b1 * math.log1p(total) + b2 * math.log1p(100 * total / max(20, n)))))
+
+
+def learned_insults():
+    texts = [(f"a{i} scum b{i} scum c{i} moron d{i} clown e{i}", 1) for i in range(80)] + [(f"clean w{i} words{i % 7}", 0) for i in range(300)]
+    return tox.fit(texts + [(f"q{i} pond scum layer r{i}", 0) for i in range(9)] + [(f"q{i} pond scum r{i}", 0) for i in range(9)] + [(f"q{i} scum layer r{i}", 0) for i in range(9)], support=8, impure=0.5)
+
+
+def test_scores_by_plain_search(spark, docs, rows):
+    model = learned_insults()
+    assert {" pond scum", " scum iayer "} <= set(model["places"])
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(["scum", "pond scum layer", "pond scum layer and a moron", "SCUM pond-scum, scums", "m0r0n c1own", "", None, "x " * 30_000 + "moron"])], "doc_id long, text string")
+    for d in (table, docs.select("doc_id", "text")):
+        got = sorted((round(r["score"], 12), r["text"] or "") for r in tox.score(d, model).collect())
+        assert got == sorted((round(brute_score(r["text"] or "", model), 12), r["text"] or "") for r in d.collect())
+
+
+def test_an_exception_takes_its_own_entry_out_once():
+    model = learned_insults()
+    total = lambda t: tox._sum(tox._automaton(tox.json.dumps(model)), tox.fold(t))
+    assert total("the pond scum layer") == 0 and total("the pond scum layer moron") == total("the moron") > 0
+
+
+def test_evasion_scores_as_the_plain_word(spark):
+    model = learned_insults()
+    plain = "you are a clown and nothing else at all my friend"
+    forms = [plain] + [plain.replace("clown", c) for c in ("@clown", "!clown", "|clown|", "c1own", "clown!", "CLOWN", "cl\u043ewn", "ｃｌｏｗｎ", "$clown$", "cl0wn")]
+    scores = {r["score"] for r in tox.score(spark.createDataFrame([(f,) for f in forms], "text string"), model).collect()}
+    assert len(scores) == 1 and scores.pop() > 0.5
+
+
 def test_toxicity_learns(spark, docs, empty):
     clean = [(i, f"word{i % 7} alpha beta w{i % 11} gamma the idiotic-free{i % 5} text") for i in range(200)]
     bad = [(1000 + i, f"word{i % 7} x{i} scumbag y{i} m0ron z{i % 13} moron scumbags") for i in range(60)]
