@@ -14,8 +14,10 @@ from pyspark.sql.window import Window
 from .common import basic, packed, staged, unpacked
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Knots (time, weights of the repeating classes of sources). The default holds 5, 2, 1 throughout.
+#: Knots (time, weights of the repeating classes of sources). This one holds 5, 2, 1 throughout.
 CONSTANT = ((0.0, (5.0, 2.0, 1.0)), (1.0, (5.0, 2.0, 1.0)))
+#: A curriculum with the same totals: the first class fades from 8 to 2, the third comes in from 0 to 2.
+CURRICULUM = ((0.0, (8.0, 2.0, 0.0)), (1.0, (2.0, 2.0, 2.0)))
 MOST = 3
 BUCKET_DIGITS = 3
 
@@ -73,18 +75,21 @@ def position(schedule, cls: Column, share: Column) -> Column:
     return out if out is not None else F.lit(None).cast("double")
 
 
-def placed(docs: DataFrame, schedule=CONSTANT, most: int = MOST, seed: int = 0) -> DataFrame:
+def placed(docs: DataFrame, schedule=CONSTANT, most: int = MOST, seed: int = 0, keep_text: bool = True) -> DataFrame:
     """docs with size, source_size, class, weight, target, and `before`: its source's words ahead of it.
 
-    A source's documents go in the order of the md5 of seed and doc_id, so any rerun and any
-    partitioning gives the same order. A hot source is split by the first digits of that hash;
-    only sums of the parts are added up across them. A null text has size 0; null sources are
-    one source; equal ids go by size."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    A source's documents go in the order of the md5 of seed, doc_id and text, so any rerun and any
+    partitioning gives the same order, and many rows of one id, or of none, are spread like others. A hot
+    source is split by the first digits of that hash; only sums of the parts are added up across them. A
+    null text has size 0; null sources are one source; rows of equal id and text are interchangeable.
+    Without `keep_text` the texts are read once, and only ids, sources, sizes and hashes move."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
     sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
     # A source's name that is never null: the window and the join share one partitioning, so that rows move once.
     name = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))
     sized = sized.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, BUCKET_DIGITS)).withColumn("_src", name)
+    if not keep_text:
+        sized = staged(sized.drop("text"), "mix-sizes")
     # A line for each part of a source; written, so that the texts are read for it once only.
     parts = staged(sized.groupBy("_src", "source", "_part").agg(F.sum("size").alias("_part_size")), "mix-parts")
     sources = targets(parts.groupBy("source").agg(F.sum("_part_size").alias("source_size")), schedule, most)
@@ -98,26 +103,35 @@ def placed(docs: DataFrame, schedule=CONSTANT, most: int = MOST, seed: int = 0)
 
 
 def mix(docs: DataFrame, schedule=CONSTANT, most: int = MOST, seed: int = 0) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken, position.
-
-    `taken` counts the words that the mix reads: whole passes over the source, then the words
-    ahead of the target's end, so the sum over a source is its rounded target. `position` is
-    the training time of the first reading, null where nothing is read."""
-    rows = placed(basic(docs, "doc_id", "text", "source"), schedule, most, seed)
-    goal = F.round("target").cast("long")
-    passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rows = rows.withColumn("_goal", goal).withColumn("_passes", passes)
-    taken = F.col("_passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_goal") - F.col("_passes") * F.col("source_size") - F.col("before")))
-    rows = rows.withColumn("taken", taken.cast("long"))
-    at = F.when(F.col("taken") > 0, position(schedule, F.col("class"), F.col("before") / F.col("target")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", at.alias("position"))
+    """Per document: doc_id, source, size, source_size, target, taken, readings, position, last_position; range-sorted by position.
+
+    A source is read from its first word on, again from the front after its last, until its demand is met. Each
+    reading of a document starts at a place in that stream; the cumulative demand, inverted there, is its
+    training time, and of its words those count that the demand at the end of training still reaches. `taken`
+    adds them up, so the sum over a source is its rounded target. position and last_position are the times of
+    the first and the last reading; documents that aren't read (size 0, null or empty texts; beyond the demand)
+    have none and come last.
+
+    Repeated rows are documents of their own; equal positions go by doc_id. A text of any length has its words
+    counted whole. An empty table gives no rows; other columns, whatever their names, are ignored."""
+    rows = placed(basic(docs, "doc_id", "text", "source"), schedule, most, seed, keep_text=False)
+    goal, size, S = F.round("target").cast("long"), F.col("size"), F.col("source_size")
+    # target is at most `most` times the source's size: there are no more readings than that.
+    words = [F.greatest(F.lit(0), F.least(size, goal - (F.col("before") + S * k))).cast("long") for k in range(most)]
+    rows = rows.withColumn("taken", sum(words[1:], words[0])).withColumn("readings", sum([(w > 0).cast("int") for w in words[1:]], (words[0] > 0).cast("int")))
+    at = lambda k: F.when(F.col("taken") > 0, position(schedule, F.col("class"), (F.col("before") + S * k) / F.col("target")))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "taken", "readings", at(F.lit(0)).alias("position"), at(F.col("readings") - 1).alias("last_position"))
+    order = [F.asc_nulls_last("position"), F.asc_nulls_last("doc_id")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def training_order(docs: DataFrame, schedule=CONSTANT, most: int = MOST, seed: int = 0) -> DataFrame:
     """The mix itself: whole documents, each as often as it is read, range-sorted by training position.
 
     A document is read once more in its source's last, partial pass if at least half of its words
-    lie ahead of the target. Columns as in docs."""
+    lie ahead of the target. Columns as in docs, whatever other columns there are. A null or empty text has no
+    words and goes with its place among the others; repeated rows are documents of their own; equal positions
+    go by doc_id. An empty table stays empty."""
     kept = ("doc_id", "text", "source")
     rows = placed(packed(docs, *kept), schedule, most, seed)
     size, S, goal = F.col("size"), F.col("source_size"), F.round("target").cast("long")
@@ -133,24 +147,31 @@ def training_order(docs: DataFrame, schedule=CONSTANT, most: int = MOST, seed: i
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT) AS class,
          [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight
   FROM d GROUP BY source),
 l AS (
   SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(source_size) OVER before, 0) * 3 AS DOUBLE)
             / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0)) AS level
   FROM s WINDOW before AS (ORDER BY CAST(source_size * 3 AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, weight, least(source_size * 3.0::DOUBLE, weight * (SELECT max(level) FROM l)) AS target FROM l),
+t AS (SELECT source, source_size, class, least(source_size * 3.0::DOUBLE, weight * (SELECT max(level) FROM l)) AS target FROM l),
 c AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.weight, CAST(round(t.target) AS BIGINT) AS goal,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.class, CAST(round(t.target) AS BIGINT) AS goal,
          CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS passes FROM c),
-q AS (SELECT *, CAST(passes * size + greatest(0, least(size, goal - passes * source_size - ahead)) AS BIGINT) AS taken FROM p)
-SELECT doc_id, source, size, source_size, target, taken,
-       CASE WHEN taken > 0 THEN ahead / target * weight / weight END AS position
-FROM q
+q AS (
+  SELECT *, greatest(0, least(size, goal - ahead)) AS a, greatest(0, least(size, goal - ahead - source_size)) AS b,
+         greatest(0, least(size, goal - ahead - 2 * source_size)) AS c
+  FROM c),
+r AS (
+  SELECT *, CAST(a + b + c AS BIGINT) AS taken, CAST((a > 0)::INT + (b > 0)::INT + (c > 0)::INT AS INTEGER) AS readings FROM q),
+p AS (
+  SELECT *, ahead / target AS x, (ahead + source_size * (readings - 1)) / target AS y FROM r)
+SELECT doc_id, source, size, source_size, target, taken, readings,
+       CASE WHEN taken > 0 THEN round(CASE class WHEN 1 THEN (sqrt(64 - 12 * (x * 5)) - 8) / -6 WHEN 2 THEN x * 2 / 2 ELSE sqrt(4 * x) / 2 END, 9) END AS position,
+       CASE WHEN taken > 0 THEN round(CASE class WHEN 1 THEN (sqrt(64 - 12 * (y * 5)) - 8) / -6 WHEN 2 THEN y * 2 / 2 ELSE sqrt(4 * y) / 2 END, 9) END AS last_position
+FROM p
 """

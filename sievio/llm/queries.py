@@ -60,7 +60,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents"))
+    """The mix along a curriculum whose totals are 5, 2, 1."""
+    return mix(_table(spark, sf_dir, "documents"), mixing.CURRICULUM).withColumns({c: F.round(c, 9) for c in ("position", "last_position")})
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Candidates are found in each text; hashes of their values are counted over the corpus by
 distinct documents (repositories) and sources (owners). A value that many owners or very many
-repositories hold is a copied example; one that few hold looks live."""
+repositories hold is a copied example. One that few hold is live if it also looks so: no
+placeholder, no identifier, and, for bare hexadecimal digits, named as a secret beside it."""
 
 from __future__ import annotations
 
@@ -25,13 +26,20 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
-#: A value that at least so many sources hold is an example.
+#: A value that at least so many sources hold is an example; where there are fewer sources, one that all of them hold, if they are two or more.
 EXAMPLE_OWNERS = 5
 #: So is one that at least so many repositories hold, whoever owns them. High, as a live secret that is taken for an example stays in the text.
 EXAMPLE_REPOSITORIES = 1000
 #: Bits a character that an opaque candidate has at least.
 ENTROPY = 3.5
-_SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+#: Bits a character that a base value has at least to look live.
+BASE_ENTROPY = 2.5
+#: Spans of one value beyond which its counts are broadcast, one line for every so many spans at most.
+HOT_VALUE = 1 << 16
+_PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|change.?me|your[_-]|insert|redacted|xxxx|\*\*\*|(.)\1{7}", re.I)
+_IDENTIFIER = re.compile(r"[A-Za-z]+(?:[._-]+[A-Za-z]+)+[._-]*")
+_SECRET_NAME = re.compile(r"""(?:key|secret|token|passwo?r?d|pwd|auth\w*|credentials?|signature|bearer)["'\])]{0,2}\s{0,2}(?:=>|[:=]|is)?\s{0,2}["'(]{0,2}$""", re.I)
+_SPANS = "array<struct<start:int,kind:int,end:int,value:string,looks:boolean>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -62,18 +70,37 @@ def opaque_spans(text: str, base: list[tuple]) -> list[tuple[int, int, int, str]
     return out
 
 
+def looks_live(kind: int, value: str, before: str = "", assigned: bool = False) -> bool:
+    """Whether a value looks like a credential in use, by itself and the characters before it.
+
+    Hexadecimal digits alone are mostly hashes and ids: they count where an assignment holds them, or the
+    name of a secret stands right before them."""
+    if _PLACEHOLDER.search(value) or _bits(value) < BASE_ENTROPY:
+        return False
+    if kind == 0:
+        return not _IDENTIFIER.fullmatch(value)
+    return kind != 2 or assigned or _SECRET_NAME.search(before[-40:]) is not None
+
+
+def found_in(text: str) -> list[tuple[int, int, int, str, bool]]:
+    """All candidates of a text: (start, number of the kind, end, value, whether it looks live), base spans first."""
+    base = base_spans(text)
+    assigned = [(a, b) for a, k, b, _ in base if k == 0]
+    out = [(a, k, b, v, looks_live(k, v, text[max(0, a - 40) : a], k == 2 and any(x <= a and b <= y for x, y in assigned))) for a, k, b, v in base]
+    return out + [(a, k, b, v, looks_live(k, v)) for a, k, b, v in opaque_spans(text, base)]
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """docs with `spans`, all candidates of the whole text, values as hashes, and `content`, the text's hash."""
     names = docs.columns
     text_at = names.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("looks", pa.bool_())]))
         for batch in batches:
             spans, content = [], []
             for text in texts_of(batch.column(text_at)):
-                base = base_spans(text)
-                spans.append([{"start": a, "kind": k, "end": b, "value": xxhash.xxh3_128_hexdigest(v)} for a, k, b, v in base + opaque_spans(text, base)])
+                spans.append([{"start": a, "kind": k, "end": b, "value": xxhash.xxh3_128_hexdigest(v), "looks": x} for a, k, b, v, x in found_in(text)])
                 content.append(xxhash.xxh3_64_intdigest(text) - (1 << 63) if spans[-1] else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind), pa.array(content, pa.int64())], [*names, "spans", "content"])
 
@@ -83,23 +110,28 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Per value: n_repositories (an owner's distinct texts, over all owners) and n_owners (distinct sources) that hold it.
+    """Per value: n_repositories (an owner's distinct texts, over all owners), n_owners (distinct sources) that hold it, and n_spans.
 
     Equal (value, owner, text) rows are merged before the shuffle, then the texts of an owner, then
     the owners, so a value that a third of all rows hold is a handful of rows when it is shuffled."""
-    each = found.select("source", "content", F.explode("spans.value").alias("value")).distinct()
-    owned = each.groupBy("value", "source").agg(F.count("*").alias("n"))
-    return owned.groupBy("value").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
+    each = found.select("source", "content", F.explode("spans.value").alias("value")).groupBy("value", "source", "content").agg(F.count("*").alias("n"))
+    owned = each.groupBy("value", "source").agg(F.count("*").alias("n"), F.sum("n").alias("spans"))
+    return owned.groupBy("value").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"), F.sum("spans").alias("n_spans"))
 
 
 def decided(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
-    """Per row with candidates, by `row`: its spans with `live`, whether few owners and not very many repositories hold the value, and both counts."""
+    """Per row with candidates, by `row`: its spans with `example`, whether many owners or very many repositories hold
+    the value, `live`, whether it is no example and looks live, and both counts."""
+    owners_all = found.select("source").distinct().count()
+    enough = min(example_owners, max(2, owners_all))
     hit = found.filter(F.size("spans") > 0)
-    owners = staged(ownership(hit), "secret-owners")
+    owners = staged(ownership(hit), "secret-owners").withColumn("example", (F.col("n_owners") >= enough) | (F.col("n_repositories") >= example_repositories))
     each = hit.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    # A span's value in the fewest rows: a hot value meets one line of `owners`, which AQE splits at need.
-    each = each.join(owners, "value").withColumn("live", (F.col("n_owners") < example_owners) & (F.col("n_repositories") < example_repositories))
-    return each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "n_repositories", "n_owners"))).alias("spans"))
+    # The values of very many spans are few, by their number: they go to the spans, whose rows stay where they are.
+    common = each.join(F.broadcast(owners.filter(F.col("n_spans") > HOT_VALUE)), "value", "left")
+    rest = common.filter("n_spans is null").select(*each.columns).join(owners.filter(F.col("n_spans") <= HOT_VALUE), "value")
+    each = common.filter("n_spans is not null").unionByName(rest).withColumn("live", ~F.col("example") & F.col("looks"))
+    return each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "example", "n_repositories", "n_owners"))).alias("spans"))
 
 
 def _joined(spans):
@@ -119,20 +151,21 @@ def secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos
     known = decided(found, example_owners, example_repositories).withColumnRenamed("spans", "known")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     rows = found.join(known, "row", "left")
-    kept = F.coalesce(F.filter("known", lambda s: (s["kind"] < 3) | s["live"]), F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,n_repositories:bigint,n_owners:bigint>>"))
+    kept = F.coalesce(F.filter("known", lambda s: (s["kind"] < 3) | s["live"]), F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,example:boolean,n_repositories:bigint,n_owners:bigint>>"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     held = lambda n: F.array_join(F.transform(kept, lambda s: s[n].cast("string")), ",")
     return rows.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(kept).alias("spans"),
-        F.size(F.filter(kept, lambda s: s["live"])).cast("long").alias("n_live"), F.size(F.filter(kept, lambda s: ~s["live"])).cast("long").alias("n_example"), F.size(F.filter(kept, lambda s: s["kind"] == 3)).cast("long").alias("n_added"),
+        F.size(F.filter(kept, lambda s: s["live"])).cast("long").alias("n_live"), F.size(F.filter(kept, lambda s: s["example"])).cast("long").alias("n_example"), F.size(F.filter(kept, lambda s: s["kind"] == 3)).cast("long").alias("n_added"),
         held("n_repositories").alias("repositories"), held("n_owners").alias("owners"),
     )
 
 
 def redacted(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str = "[SECRET]", example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
-    """docs with every live-looking secret of the text replaced by `mark`; examples that many owners or very many repositories hold stay.
+    """docs with every live secret of the text replaced by `mark`; examples, and what doesn't look live, stay.
 
-    Overlapping spans are replaced as one. n_chars, where there is one, follows the text; all rows stay."""
+    Overlapping spans are replaced as one. n_chars, where there is one, follows the text. All rows stay, repeated
+    ones as often as they come; a null or empty text stays as it is, and so does an empty table."""
     columns, schema = docs.columns, docs.schema
     kept = ("text", "source", "n_chars") if "n_chars" in columns else ("text", "source")
     docs = packed(docs, *kept)
