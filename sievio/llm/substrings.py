@@ -31,7 +31,7 @@ HOT = 1 << 16
 #: Distinct blocks of a part that are held to send equal ones once.
 HELD = 1 << 18
 _FRAME = 1 << 20
-_POOL = 200_000
+_POOL = 16_000
 _PLACE = np.uint64((1 << 26) - 1)
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _BLOCKS = "h long, doc_id long, tie long, part int, ord int, pos long, n int, block binary"
@@ -86,26 +86,42 @@ def anchored(data: np.ndarray, lengths: np.ndarray, length: int = LENGTH) -> tup
     return tuple(np.concatenate(r) for r in zip(*runs)) if runs else none
 
 
+def _ranked(key: np.ndarray, bits: int) -> np.ndarray:
+    """Ranks from 1 on of keys of so many bits, equal for equal keys."""
+    n = len(key)
+    place = max(1, n).bit_length()
+    if bits + place <= 63:  # keys and places in one word sort without an index
+        both = np.sort((key << place) | np.arange(n))
+        order, ranked = both & ((1 << place) - 1), both >> place
+    else:
+        order = np.argsort(key)
+        ranked = key[order]
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(np.concatenate([[1], ranked[1:] != ranked[:-1]])) if n else 0
+    return out
+
+
 def suffix_ranks(symbols: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
     """(k, ranks of all suffixes by their first k symbols) for k = 1 and doubling up to `depth` at least, or until all differ."""
     n = len(symbols)
     if n and int(symbols.max()) >= 1 << 30:
         symbols = np.unique(symbols, return_inverse=True)[1]
-    bits = max(1, int(symbols.max()).bit_length() + 1) if n else 1
     ranks, k = [(1, symbols.astype(np.int64) + 1)], 1  # 0 is beyond the end
-    pack = 4 if bits <= 15 else 2
+    bits = int(ranks[0][1].max(initial=1)).bit_length()
     while k < depth and (k == 1 or int(ranks[-1][1].max(initial=0)) < n):
         last = ranks[-1][1]
         if k == 1:  # as many symbols as fit a word are one key
-            key, k = np.zeros(n, np.int64), pack
-            for step in range(pack):
+            k, key = 4 if bits <= 15 else 2, np.zeros(n, np.int64)
+            for step in range(k):
                 key <<= bits
                 key[: max(0, n - step)] |= last[step:]
+            bits *= k
         else:
-            key = last * (int(last.max(initial=0)) + 1)
-            key[: max(0, n - k)] += last[k:]
-            k *= 2
-        ranks.append((k, np.unique(key, return_inverse=True)[1].astype(np.int64) + 1))
+            bits = int(last.max(initial=1)).bit_length()
+            key = last << bits
+            key[: max(0, n - k)] |= last[k:]
+            k, bits = 2 * k, 2 * bits
+        ranks.append((k, _ranked(key, bits)))
     return ranks
 
 
@@ -129,32 +145,33 @@ def _nearest_smaller(values: np.ndarray) -> np.ndarray:
 def _common(ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lengths of the common prefixes of suffixes a and b, as far as ranks go; 0 where b is negative."""
     n = len(ranks[0][1])
-    a, b = a.copy(), b.copy()
-    out = np.zeros(len(a), np.int64)
-    for k, rank in [*reversed(ranks), *ranks[:1] * 2]:
-        here = (b >= 0) & (a < n) & (b < n)
-        here[here] = rank[a[here]] == rank[b[here]]
-        for x in (out, a, b):
-            x[here] += k
-    return out
+    at, to = a.copy(), np.where(b < 0, n, b)
+    for k, rank in [*reversed(ranks), *ranks[:1] * (ranks[min(1, len(ranks) - 1)][0] - 2)]:
+        here = np.append(rank, -1)[at] == np.append(rank, -2)[to]  # the ends differ from all, and from each other
+        at += k * here
+        to += k * here
+    return at - a
 
 
-def longest_previous_factors(symbols: np.ndarray, depth: int) -> np.ndarray:
+def longest_previous_factors(symbols: np.ndarray, depth: int, starts: np.ndarray | None = None) -> np.ndarray:
     """For each position the length, at most `depth`, of the longest prefix of its suffix that also starts earlier.
 
     In suffix order, ties of `depth` symbols by position, the nearest smaller positions on both sides
-    share the longest prefixes with it that any earlier position does."""
-    n = len(symbols)
+    share the longest prefixes with it that any earlier position does. With `starts`, in ascending order,
+    only these positions count, both as starts and as earlier starts."""
+    ranks = suffix_ranks(symbols, depth)
+    starts = np.arange(len(symbols)) if starts is None else starts
+    n = len(starts)
     if not n:
         return np.zeros(0, np.int64)
-    ranks = suffix_ranks(symbols, depth)
-    order = np.argsort(ranks[-1][1], kind="stable")
-    before = _nearest_smaller(order)
-    after = n - 1 - _nearest_smaller(order[::-1])[::-1]
+    place = np.argsort(ranks[-1][1][starts], kind="stable")
+    before = _nearest_smaller(place)
+    after = n - 1 - _nearest_smaller(place[::-1])[::-1]
+    order = starts[place]
     known = np.append(order, -1)
     lpf = np.maximum(_common(ranks, order, known[before]), _common(ranks, order, known[np.where(after < n, after, n)]))
     out = np.empty(n, np.int64)
-    out[order] = np.minimum(lpf, depth)
+    out[place] = np.minimum(lpf, depth)
     return out
 
 
@@ -412,15 +429,17 @@ def _firsts(first: dict[bytes, tuple]) -> Iterator[pa.RecordBatch]:
 def _pool_copies(pool: list[tuple], length: int) -> list[tuple]:
     """Runs of string starts in the blocks of the pool whose longest previous factor reaches `length`.
 
-    Each block ends with a symbol of its own, so that no factor crosses its end."""
+    A string ends within its block, so none of its symbols, nor of those equal to them, is the one that ends blocks."""
     pool.sort(key=lambda r: r[1:7])
     n = np.array([r[7] for r in pool])
     sizes = n + length  # with the end symbol
-    symbols = np.frombuffer(b"".join(r[8] + b"\0" for r in pool), np.uint8).astype(np.int64)
+    data = np.frombuffer(b"".join(r[8] + b"\0" for r in pool), np.uint8)
     stops = np.cumsum(sizes) - 1
-    symbols[stops] = 256 + np.arange(len(pool))
+    used = np.bincount(data, minlength=256) > 0
+    symbols = np.cumsum(used)[data]  # few bits each; from 1 on
+    symbols[stops] = 0
     starts = np.repeat(stops + 1 - sizes - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    previous = longest_previous_factors(symbols, length)[starts] >= length
+    previous = longest_previous_factors(symbols, length, starts) >= length
     ends = np.cumsum(n)
     begins = np.zeros(len(previous), bool)
     begins[ends - n] = True
