@@ -1,14 +1,16 @@
 """Operator 3: near-duplicate vectors by a robust-pruned flat graph.
 
-Vectors of a label go to overlapping cells, in each of which small overlapping clusters are
-linked by robust pruning; the union of their adjacency lists is one flat graph. A greedy
-search from the clusters' medoids leads to each vector's surroundings, and from there all
-that is within range is visited. Every link is verified in double precision."""
+Vectors of a label go to overlapping cells, and cells that are too large to smaller ones
+within them, level by level. In each, small overlapping clusters are linked by robust
+pruning; the union of their adjacency lists is one flat graph. A greedy search from the
+clusters' medoids leads to each vector's surroundings, and from there all that is within
+range is visited. Every link is verified in double precision."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +18,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, staged
+from .common import get_file, prepare, put_file, shared_path, staged
 from .graph import components
 from .simhash import forest
 
 COSINE = 0.98
-#: Vectors that a cell aims at, and beyond which it is compared in blocks without a graph.
+#: Vectors that a cell aims at, and beyond which it is divided; a group of near copies, which can't be, is compared in blocks.
 CELL, CELL_MOST = 16_384, 65_536
-#: Medoids of cells, for all labels together: a hashed sample that the driver gathers and broadcasts.
-PIVOTS = 16_384
+#: Medoids of cells: of the first level, for all labels together, a hashed sample that the driver gathers and broadcasts;
+#: of a cell that is divided, in a file of its own.
+PIVOTS, PIVOTS_WITHIN = 16_384, 4_096
+#: Times that cells are divided: with the first level, room for some 10^15 vectors.
+LEVELS = 2
 #: A vector also goes to the cells whose medoid is less similar than the nearest by at most so much.
 MARGIN, CELLS_LEAST, CELLS_MOST = 0.1, 2, 6
 #: Of the graph: members of a cluster, clusters of a vector, candidates, neighbours kept, slack of the pruning, beam.
@@ -189,13 +194,108 @@ def _prepared(table: DataFrame) -> DataFrame:
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
+def _nearest(V: np.ndarray, medoids: np.ndarray) -> list[list[int]]:
+    """Of each vector the medoids of its cells, the nearest first."""
+    sims = V @ medoids.T
+    c = min(CELLS_MOST, sims.shape[1])
+    order = np.argpartition(-sims, c - 1, axis=1)[:, :c]
+    order = np.take_along_axis(order, np.argsort(-np.take_along_axis(sims, order, 1), axis=1, kind="stable"), 1)
+    top = np.take_along_axis(sims, order, 1)
+    near = (top[:, :1] - top <= MARGIN) | (np.arange(c) < CELLS_LEAST)
+    return [o[k].tolist() for o, k in zip(order, near)]
+
+
+_ROW = "group string, node long, n long, vec binary, cell long, home boolean"
+_ROW_NAMES = ["group", "node", "n", "vec", "cell", "home"]
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """The stretches of a sorted batch with equal group and cell."""
+    keys = list(zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()))
+    start = 0
+    for i in range(1, len(keys) + 1):
+        if i == len(keys) or keys[i] != keys[start]:
+            yield keys[start], batch.slice(start, i - start)
+            start = i
+
+
+def _divided(rows: DataFrame, heavy: dict[tuple[str, int], int], level: int) -> DataFrame:
+    """rows (a vector in a cell each), in which each heavy cell is replaced by cells around medoids of its own.
+
+    A cell's medoids are a hashed sample of it, at most PIVOTS_WITHIN, of which no two are alike. They lie in a
+    file for each cell; nothing is broadcast but the heavy cells' sizes, one for every CELL_MOST rows at most.
+    A cell with a single medoid, of near copies, stays as it is."""
+    spark = rows.sparkSession
+    folder, sizes = shared_path(spark, "medoids"), spark.sparkContext.broadcast(heavy)
+
+    def place(key: tuple[str, int]) -> str:
+        return f"{folder}/{xxhash.xxh3_128_hexdigest(f'{key[0]}:{key[1]}')}"
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, cells = batch.column(0).to_pylist(), batch.column(4).to_pylist()
+            u = [xxhash.xxh64_intdigest(f"{level}:{x}") / 2.0**64 for x in batch.column(1).to_pylist()]
+            yield batch.filter(pa.array([u[i] < min(4.0 / CELL, PIVOTS_WITHIN / sizes.value[k]) if (k := (g, c)) in sizes.value else False for i, (g, c) in enumerate(zip(groups, cells))]))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> None:
+            if now is not None:
+                out = BytesIO()
+                np.save(out, _apart([bytes(v) for v in sorted(held)]))
+                put_file(place(now), [out.getvalue()])
+
+        for batch in batches:
+            for key, own in _runs(batch):
+                if key != now:
+                    close()
+                    now, held = key, []
+                held += own.column(3).to_pylist()
+        close()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
+
+    ordered = lambda df: df.repartition("group", "cell").sortWithinPartitions("group", "cell")
+    ordered(rows.mapInArrow(choose, _ROW)).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, int], np.ndarray | None] = {}
+        for batch in batches:
+            at, cells, homes = [], [], []
+            start = 0
+            for key, own in _runs(batch):
+                if key in sizes.value and key not in known:
+                    if len(known) > 64:
+                        known.clear()
+                    try:
+                        medoids = np.load(BytesIO(bytes(get_file(place(key)))))
+                    except FileNotFoundError:  # the sample of a cell may be empty
+                        medoids = np.zeros((0, 0))
+                    known[key] = medoids if len(medoids) > 1 else None
+                home = own.column(5).to_pylist()
+                near = [[None]] * own.num_rows if known.get(key) is None else _nearest(_unit(own.column(3).to_pylist()), known[key])
+                for i, subs in enumerate(near):
+                    for rank, sub in enumerate(subs):
+                        at.append(start + i)
+                        cells.append(key[1] if sub is None else xxhash.xxh64_intdigest(f"{key[1]}/{sub}") >> 1)
+                        homes.append(home[i] and not rank)
+                start += own.num_rows
+            own = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array(cells, pa.int64()), pa.array(homes, pa.bool_())], _ROW_NAMES)
+
+    # The rows of a heavy cell are spread over tasks; each task reads the medoids of the cells that it has.
+    spread = rows.repartition("group", "cell", F.pmod(F.col("node"), F.lit(64))).sortWithinPartitions("group", "cell")
+    return staged(spread.mapInArrow(assign, _ROW), "vector-cells")
+
+
 def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept.
 
     Only vectors of equal label and length are compared. Vectors that are null, zero or empty, or hold
     null or non-finite components, and those without label, link with nothing and are their own
     component. Equal vectors of a label are one node with a count. A null vec_id counts as a vector and
-    is the component of nothing but itself. Repeated rows count as vectors; an empty table gives no rows."""
+    is the component of nothing but itself. Repeated rows count as vectors; vectors of any length, and any number of
+    them with one label, are taken whole; an empty table gives no rows; other columns are ignored."""
     spark = table.sparkSession
     rows = staged(_prepared(table), "vectors")
     nodes = rows.filter("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("vec").alias("vec"))
@@ -220,25 +320,36 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
             cells: list[list[int]] = [[0]] * len(vecs)
             for g in set(groups) & set(known):
                 own = np.flatnonzero(groups == g)
-                sims = _unit([vecs[i] for i in own]) @ known[g].T
-                c = min(CELLS_MOST, sims.shape[1])
-                order = np.argpartition(-sims, c - 1, axis=1)[:, :c]
-                order = np.take_along_axis(order, np.argsort(-np.take_along_axis(sims, order, 1), axis=1, kind="stable"), 1)
-                top = np.take_along_axis(sims, order, 1)
-                near = (top[:, :1] - top <= MARGIN) | (np.arange(order.shape[1]) < CELLS_LEAST)
-                for i, o, k in zip(own, order, near):
-                    cells[i] = o[k].tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], ["group", "node", "n", "vec", "cells"])
-
-    placed = nodes.select("group", "node", "n", "vec").mapInArrow(assign, "group string, node long, n long, vec binary, cells array<int>")
-    placed = staged(placed, "vector-cells").withColumn("cell", F.explode("cells"))
-    size = placed.groupBy("group", "cell").agg(F.count("*").alias("size")).filter(F.col("size") > CELL_MOST)
-    # One line for every CELL_MOST vectors at most.
-    heavy = spark.sparkContext.broadcast({(r["group"], r["cell"]): math.ceil(r["size"] / CELL_MOST) for r in size.toLocalIterator()})
+                for i, near in zip(own, _nearest(_unit([vecs[i] for i in own]), known[g])):
+                    cells[i] = near
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], ["group", "node", "n", "vec", "cells"])
+
+    placed = nodes.select("group", "node", "n", "vec").mapInArrow(assign, "group string, node long, n long, vec binary, cells array<long>")
+    placed = staged(placed, "vector-cells").withColumn("home", F.element_at("cells", 1)).withColumn("cell", F.explode("cells"))
+
+    def too_large(rows: DataFrame) -> dict[tuple[str, int], int]:
+        """One line for every CELL_MOST rows at most."""
+        size = rows.groupBy("group", "cell").agg(F.count("*").alias("size")).filter(F.col("size") > CELL_MOST)
+        return {(r["group"], r["cell"]): r["size"] for r in size.toLocalIterator()}
+
+    large, level, rows_ = too_large(placed), 0, None
+    while large:
+        rows_ = placed.select("group", "node", "n", "vec", "cell", (F.col("home") == F.col("cell")).alias("home")) if rows_ is None else rows_
+        level += 1
+        rows_ = _divided(rows_, large, level)
+        now = too_large(rows_)
+        done = level == LEVELS or set(now) <= set(large)  # what is left are groups of near copies
+        large = now
+        if done:
+            break
+    if rows_ is not None:
+        where = rows_.groupBy("node").agg(F.collect_set("cell").alias("cells"), F.max(F.when(F.col("home"), F.col("cell"))).alias("home"))
+        placed = staged(rows_.drop("home").join(where, "node").select("group", "node", "n", "vec", "cells", "home", "cell"), "vector-cells")
+    heavy = spark.sparkContext.broadcast({k: math.ceil(n / CELL_MOST) for k, n in large.items()})
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group, node, cell = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(5).to_pylist()
+            group, node, cell = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(6).to_pylist()
             take, a, b = [], [], []
             for i, key in enumerate(zip(group, cell)):
                 parts = heavy.value.get(key, 1)
@@ -249,17 +360,17 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
                     b.append(max(mine, other))
             own = batch.take(pa.array(take))
             mine = [xxhash.xxh64_intdigest(str(node[i])) % heavy.value.get((group[i], cell[i]), 1) for i in take]
-            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, pa.int32()) for x in (a, b, mine))], ["group", "node", "n", "vec", "cells", "cell", "a", "b", "mine"])
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, pa.int32()) for x in (a, b, mine))], ["group", "node", "n", "vec", "cells", "home", "cell", "a", "b", "mine"])
 
-    split = placed.mapInArrow(pieces, "group string, node long, n long, vec binary, cells array<int>, cell int, a int, b int, mine int")
+    split = placed.mapInArrow(pieces, "group string, node long, n long, vec binary, cells array<long>, home long, cell long, a int, b int, mine int")
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
         V, node, n = _unit(t.column("vec").to_pylist()), t.column("node").to_numpy(), t.column("n").to_numpy()
         mine, cell = t.column("mine").to_numpy(), t.column("cell")[0].as_py()
         cells = t.column("cells").to_pylist()
-        home = np.array([c[0] for c in cells])
-        member = np.full((len(cells), CELLS_MOST), -1)
+        home = t.column("home").to_numpy()
+        member = np.full((len(cells), max(map(len, cells))), -1)
         for i, c in enumerate(cells):
             member[i, : len(c)] = c
         a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
@@ -293,36 +404,33 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("vec_id").isNull()))
 
 
-def audit_recall(table: DataFrame, found: DataFrame, every: int = 50, cosine: float = COSINE) -> float:
-    """The share of the links of the vectors with vec_id divisible by `every` that n_links has, by comparison with all rows."""
-    asked = table.filter((F.col("vec_id") % every == 0) & F.col("label").isNotNull()).toPandas()
-    V = {k: (g["vec_id"].to_numpy(), np.array(g["embedding"].tolist(), np.float64)) for k, g in asked.groupby("label")}
-    known = spark_counts(found, every)
-    right = total = 0
-    for label, (ids, X) in V.items():
-        X = X / np.linalg.norm(X, axis=1)[:, None]
-        counts = np.zeros(len(ids), np.int64)
-        for block in _label_blocks(table, label):
-            counts += (X @ (block / np.linalg.norm(block, axis=1)[:, None]).T >= cosine).sum(axis=1)
-        for i, c in zip(ids, counts - 1):
-            total += c
-            right += min(c, known[int(i)])
-    return right / total if total else 1.0
+def audit_recall(table: DataFrame, found: DataFrame, every: int = 50, cosine: float = COSINE, most: int = 20_000) -> float:
+    """The share of the links of the vectors with vec_id divisible by `every`, at most `most` of them, that n_links has.
 
+    These are broadcast and compared with all rows where these lie; each task gives its counts."""
+    spark = table.sparkSession
+    asked = table.filter((F.col("vec_id") % every == 0) & F.col("label").isNotNull()).select("vec_id", "label", "embedding").orderBy("vec_id").limit(most).toPandas()
+    sent = spark.sparkContext.broadcast({str(k): (g["vec_id"].to_numpy(), _rows_of_unit(g["embedding"].tolist())) for k, g in asked.groupby("label")})
 
-def spark_counts(found: DataFrame, every: int) -> dict[int, int]:
-    return {r["vec_id"]: r["n_links"] for r in found.filter(F.col("vec_id") % every == 0).select("vec_id", "n_links").toLocalIterator()}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {k: np.zeros(len(ids), np.int64) for k, (ids, _) in sent.value.items()}
+        for batch in batches:
+            labels = np.array(batch.column(0).to_pylist(), object)
+            for k in set(labels) & set(total):
+                own = _rows_of_unit(batch.column(1).filter(pa.array(labels == k)).to_pylist())
+                total[k] += (sent.value[k][1] @ own.T >= cosine).sum(axis=1)
+        for k, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value[k][0]), pa.array(n)], ["vec_id", "n"])
+
+    real = table.filter("label is not null").select(F.col("label").cast("string").alias("label"), "embedding").mapInArrow(count, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
+    both = found.select("vec_id", "n_links").join(F.broadcast(real), "vec_id")
+    right, total = both.agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
+    return right / total if total else 1.0
 
 
-def _label_blocks(table: DataFrame, label, size: int = 20_000) -> Iterator[np.ndarray]:
-    held: list = []
-    for r in table.filter(F.col("label") == label).select("embedding").toLocalIterator():
-        held.append(r[0])
-        if len(held) == size:
-            yield np.array(held, np.float64)
-            held = []
-    if held:
-        yield np.array(held, np.float64)
+def _rows_of_unit(vectors: list) -> np.ndarray:
+    X = np.array(vectors, np.float64)
+    return X / np.linalg.norm(X, axis=1)[:, None]
 
 
 ORACLE = """

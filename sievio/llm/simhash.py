@@ -10,6 +10,7 @@ missed, and a link counts in the first block in which it can be found."""
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,6 +26,8 @@ from .graph import components
 DISTANCE = 6
 BLOCKS = 4
 SEED = 42
+#: Seconds for a replica and for a comparison, measured on one core; only their proportion matters.
+REPLICA_S, COMPARISON_S = 2e-6, 1.5e-9
 #: Fingerprints at home at an anchor, and replicas there, that one cell of the comparison takes; larger anchors are split into a grid of cells.
 CELL = (1 << 14, 1 << 16)
 _TILE = 1 << 21
@@ -85,6 +88,20 @@ def _masks(width: int, reach: int) -> list[np.ndarray]:
     return [np.array(m, np.uint64) for m in out]
 
 
+def work(n: int, blocks: int, distance: int = DISTANCE) -> float:
+    """Seconds that a fingerprint among n takes, in expectation: replicas that are moved and sorted, and comparisons at its homes."""
+    moved = compared = 0.0
+    for width in block_widths(blocks):
+        each = sum(math.comb(width, w) for w in range(2 + distance // blocks)) / 16  # one change in 16 leads to an anchor
+        moved, compared = moved + 1 + each, compared + n * each / 2 ** (width - 4)
+    return moved * REPLICA_S + compared * COMPARISON_S
+
+
+def blocks_for(n: int, distance: int = DISTANCE) -> int:
+    """The number of blocks of least work for n different fingerprints: 4 for up to about 10^8, then 3, then 2. All find the same links."""
+    return min((4, 3, 2), key=lambda b: work(n, b, distance))
+
+
 def anchors(fps: np.ndarray, blocks: int = BLOCKS, distance: int = DISTANCE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per block: its number, the anchor at home of each fingerprint, and the replicas as (place in fps, anchor)."""
     shift = 0
@@ -173,17 +190,20 @@ def _compare(batches: Iterator[pa.RecordBatch], blocks: int, distance: int) -> I
         yield from run(int(held[0][0][0]), *(np.concatenate([h[k] for h in held]) for k in (2, 3)))
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), n_near (other rows linked directly), component_id.
 
     Rows of equal fingerprint are one node with a count; links between different fingerprints are
     counted at the homes and never listed in pairs. A null or blank text has fingerprint zero and
     links like any other. component_id is the smallest doc_id that is not null (null if there is
-    none). Repeated rows count as rows. An empty table gives no rows; other columns are ignored.
-    `blocks` trades replicas for comparisons (fewer, wider blocks for larger corpora); all give the same links."""
+    none). Repeated rows count as rows. A text of any length counts whole. An empty table gives no rows; other
+    columns are ignored. `blocks` trades replicas for comparisons; by default it follows from the number of
+    different fingerprints, as `blocks_for` says. All give the same links."""
     prints = staged(fingerprints(docs), "simhash")
     nodes = staged(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "simhash-nodes")
 
+    blocks = blocks or blocks_for(nodes.count(), distance)
+
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)

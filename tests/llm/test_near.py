@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -69,6 +70,21 @@ def test_anchors_find_every_link_once(blocks):
     assert (got == want).all()
 
 
+def test_blocks_follow_from_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 10**5, 10**7, 10**9, 10**11)] == [4, 4, 4, 3, 2]
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    for b in (3, 4):  # the expected number of replicas is the real one
+        real = sum(len(home) + len(who) for _, home, who, _ in simhash.anchors(fps, b, 6)) / len(fps)
+        assert abs(real * simhash.REPLICA_S / (simhash.work(0, b)) - 1) < 0.02
+
+
+@pytest.mark.parametrize("blocks", [2, 3])
+def test_simhash_in_wider_blocks(spark, blocks):
+    table = spark.createDataFrame([(i, f"alpha beta gamma delta{i // 3} epsilon zeta eta theta iota kappa lambda{i % 2}") for i in range(30)], "doc_id long, text string")
+    assert Counter(map(tuple, simhash.near_duplicates(table, blocks=blocks).collect())) == Counter(map(tuple, simhash.near_duplicates(table).collect()))
+
+
 @pytest.mark.parametrize("cell", [simhash.CELL, (2, 3)])
 def test_simhash(docs, rows, empty, monkeypatch, cell):
     monkeypatch.setattr(simhash, "CELL", cell)
@@ -93,7 +109,7 @@ def vectors():
     return [(i, v, label, "x", i) for i, (v, label) in enumerate(out)] + [(None, out[9][0], out[9][1], "x", 0)]
 
 
-@pytest.mark.parametrize("cell,most", [(emb.CELL, emb.CELL_MOST), (60, 10_000), (60, 50)])
+@pytest.mark.parametrize("cell,most", [(emb.CELL, emb.CELL_MOST), (60, 10_000), (60, 50), (40, 100)])
 def test_embeddings(spark, monkeypatch, cell, most):
     monkeypatch.setattr(emb, "CELL", cell)
     monkeypatch.setattr(emb, "CELL_MOST", most)
@@ -120,6 +136,22 @@ def test_recall(spark):
     assert emb.audit_recall(table, emb.near_vectors(table)) >= 0.9
 
 
+@pytest.mark.parametrize("most,pivots", [(emb.CELL_MOST, emb.PIVOTS), (2500, 12)])
+def test_recall_over_several_cells(spark, monkeypatch, most, pivots):
+    """36,000 vectors of one label: several cells of the real size; few first medoids, whose cells are divided again."""
+    monkeypatch.setattr(emb, "CELL_MOST", most)
+    monkeypatch.setattr(emb, "PIVOTS", pivots)
+    if most < emb.CELL_MOST:
+        monkeypatch.setattr(emb, "CELL", 1000)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(9000, 24))
+    V = np.repeat(base, 4, axis=0) + rng.normal(size=(36_000, 24)) * 0.06
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(36_000), "label": 1, "embedding": V.tolist()}), "vec_id long, label int, embedding array<double>").repartition(8)
+    found = emb.near_vectors(table)
+    assert emb.audit_recall(table, found) >= 0.98
+    assert found.count() == 36_000
+
+
 def test_pipeline(spark, sf, docs, rows, tmp_path):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")

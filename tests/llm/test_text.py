@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sievio.llm import toxicity as tox
 from sievio.llm.mixing import CONSTANT, CURRICULUM, mix, training_order
 from sievio.llm import pages as pg
+from sievio.llm import search as srch
 from sievio.llm import secrets as sec
 from sievio.llm import substrings as sub
 from sievio.llm.pages import best_stretch, extract, fit, learned, main_texts
@@ -315,6 +316,35 @@ def test_search(docs, rows, empty):
     assert search(empty, F.col("doc_id") % 5 == 0).count() == 0
 
 
+def test_search_in_small_shards_and_groups(spark, docs, rows, monkeypatch):
+    """Shards of few documents, small blocks, groups of one block of queries: the same, and fewer postings read than there are."""
+    want = Counter((r["query_id"], round(r["score"], 9)) for r in search(docs.limit(1000), F.col("doc_id") % 5 == 0, 3).collect())
+    for name, value in (("SHARD_DOCS", 11), ("GROUP", 1), ("QUERIES", 2), ("BLOCK", 2), ("COMMON", 0.3)):
+        monkeypatch.setattr(srch, name, value)
+    assert Counter((r["query_id"], round(r["score"], 9)) for r in search(docs.limit(1000), F.col("doc_id") % 5 == 0, 3).collect()) == want
+
+
+def test_blocks_are_skipped(tmp_path):
+    """Of a query's postings only those of blocks that may hold one of the best are read; the best are those of a full sum."""
+    rnd = np.random.default_rng(3)
+    texts = [" ".join([f"s{x}" for x in rnd.integers(0, 2000, 8)] + [f"t{i // 40}x{x}" for x in rnd.integers(0, 60, 30)]) for i in range(4000)]
+    doc, term, count, lengths = srch._counted(texts)
+    voc, place = np.unique(term, return_inverse=True)
+    uri = f"file://{tmp_path}/s"
+    srch.put_file(uri, srch._dump([np.arange(4000), np.ones(4000, np.uint8), lengths, doc.astype(np.int32), place.astype(np.int32), count, voc]))
+    shard = srch.Shard(uri)
+    shard.weigh(lengths.mean())
+    idf = np.log1p((4000 - shard.df + 0.5) / (shard.df + 0.5))
+    queries = [(place[doc == d], idf[place[doc == d]]) for d in range(0, 4000, 400)]
+    for (terms, w), (found, score) in zip(queries, shard.best(queries, 5)):
+        full = np.zeros(4000)
+        for t, x in zip(terms, w):
+            own = slice(shard.starts[t], shard.starts[t + 1])
+            full[shard.by_term[own]] += shard.by_impact[own] * x
+        assert np.allclose(np.sort(full)[::-1][:5], score) and np.allclose(full[found], score)
+    assert shard.read < 0.8 * shard.all
+
+
 def test_mix(docs, rows, empty):
     out = mix(docs).toPandas()
     assert len(out) == len(rows)
