@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,7 +50,3 @@ def facets_as_dict(rows: list, mapping: Mapping) -> dict:
         out[r["field"]].append({"count": r["count"], "key": float(r["key"]) if number else r["key"]})
     return out
 
-
-def merged(parts: list[DataFrame]) -> DataFrame:
-    """Counts of several parts of an index added up."""
-    return reduce(DataFrame.unionByName, parts).groupBy("field", "key").agg(F.sum("count").alias("count"))

@@ -93,19 +93,30 @@ def snippet(text: str | None, terms: list[Term], size: int) -> str | None:
     return highlight(" ".join(words[best : best + size]), terms)
 
 
-def marked(col: Column, plan: TextPlan) -> Column:
+def marked(col: Column, plan: TextPlan, size: int = 0) -> Column:
+    """The strings with their matches marked; if `size` is given, their snippets of so many words."""
     terms = plan.terms
     first = tuple(t.word[:1] for t in terms)
 
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: highlight(t, terms) if t else t)
+        return texts.map(lambda t: (snippet(t, terms, size) if size else highlight(t, terms)) if t else t)
 
     return F.pandas_udf(run, "string")(col) if first else col
 
 
+def _sizes(fields: list[str]) -> dict[str, int]:
+    """Fields with their snippets' numbers of words, 0 for whole texts, from `field` and `field:N`."""
+    out = {}
+    for f in fields:
+        name, colon, n = f.rpartition(":")
+        out |= {name: int(n)} if colon and n.isdigit() else {f: 0}
+    return out
+
+
 def _apply(col: Column, t: T.DataType, path: str, wanted, plan: TextPlan) -> Column:
     if isinstance(t, T.StringType):
-        return marked(col, plan) if wanted(path) else col
+        size = wanted(path)
+        return col if size is None else marked(col, plan, size)
     if isinstance(t, T.StructType):
         return F.when(col.isNotNull(), F.struct(*[_apply(col[f.name], f.dataType, f"{path}.{f.name}", wanted, plan).alias(f.name) for f in t.fields]))
     return col
@@ -116,7 +127,7 @@ def _lists(schema: T.StructType, wanted) -> bool:
 
     def deep(t: T.DataType, path: str, inside: bool) -> bool:
         if isinstance(t, T.StringType):
-            return inside and wanted(path)
+            return inside and wanted(path) is not None
         if isinstance(t, T.StructType):
             return any(deep(f.dataType, f"{path}.{f.name}", inside) for f in t.fields)
         return isinstance(t, T.ArrayType) and deep(t.elementType, path, True)
@@ -126,7 +137,8 @@ def _lists(schema: T.StructType, wanted) -> bool:
 
 def _walk_value(value, path: str, wanted, terms: list[Term]):
     if isinstance(value, str):
-        return highlight(value, terms) if wanted(path) else value
+        size = wanted(path)
+        return value if size is None else snippet(value, terms, size) if size else highlight(value, terms)
     if isinstance(value, dict):
         return {k: _walk_value(v, f"{path}.{k}" if path else k, wanted, terms) for k, v in value.items()}
     if isinstance(value, list):
@@ -137,11 +149,12 @@ def _walk_value(value, path: str, wanted, terms: list[Term]):
 def highlighted(docs: DataFrame, plan: TextPlan, fields: list[str] | None, source: bool = False, skip: tuple[str, ...] = ("_id",)) -> DataFrame:
     """docs with `_highlight`, a copy with marked strings, or, if `source`, with the strings themselves marked.
 
-    Fields are dotted names, or ["*"] for all strings; None for none. Meant for a page of hits."""
+    Fields are dotted names, or ["*"] for all strings; None for none. `name:N` gives the N words of the text with the
+    most matches. Meant for a page of hits."""
     if fields is None:
         return docs
-    every = fields == ["*"]
-    wanted = lambda path: path.split(".")[0] not in skip and not path.startswith("_") and (every or path in fields)
+    sizes = _sizes(fields)
+    wanted = lambda path: None if path.split(".")[0] in skip or path.startswith("_") else sizes.get(path, sizes.get("*"))
     schema = T.StructType([f for f in docs.schema.fields if not f.name.startswith("_")])
     whole = F.struct(*[F.col(f"`{f.name}`") for f in schema.fields])
     if not schema.fields:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..errors import QueryError
 from ..functions.terms import TextPlan, holds
@@ -13,95 +16,50 @@ from ..plans.settings import Settings
 from .fields import doc_value
 
 FAR = 8
-_FIELD = 1 << 20
-_DISTANCE = _FIELD << 12
+#: A place is one number: 40 bits for the word's position, above them the field's priority; a distance is above both.
+_BITS, _FIELD_BITS = 40, 12
+_FIELD = 1 << _BITS
 RANK = ("typos", "proximity", "field", "position", "exact")
-_RANK_TYPE = "struct<typos:int,proximity:int,field:int,position:int,exact:int>"
-
-
-def _walk(a: list[int], b: list[int]) -> int:
-    """The least distance that a merge walk over two sorted lists of places meets, at most FAR; equal places don't count."""
-    best, i, j = FAR, 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] != b[j]:
-            best = min(best, abs(a[i] - b[j]))
-        if a[i] <= b[j]:
-            i += 1
-        else:
-            j += 1
-    return best
-
-
-def _rank(occurrences: list[dict], plan: TextPlan) -> dict:
-    """The rank of a document with these matched occurrences (key, first, dist, word), two words or more."""
-    n = plan.slots
-    literal = set(plan.words) & {o["word"] for o in occurrences}
-    exact = sum(w in literal for w in plan.words)
-    typos: list[int | None] = [None] * n
-    spare: list[int] = []
-    places: list[set[int]] = [set() for _ in range(n)]
-    near = [None] * n
-    everywhere = None
-    lowest = min(o["key"] for o in occurrences)
-    if n == 2:
-        for o in occurrences:
-            if o["first"] < 2:
-                s = o["first"]
-                typos[s] = o["dist"] if typos[s] is None else min(typos[s], o["dist"])
-                places[s].add(o["key"])
-            else:
-                near[0], typos = 1, [0, 0]
-                places[0].add(o["key"])
-                places[1].add(o["key"])
-                break
-        if near[0] == 1:
-            return _result(0, 1, lowest, exact)
-    else:
-        last = 2 * n - 1
-        for o in occurrences:
-            t, s = o["first"], o["first"] // 2
-            typos[s] = o["dist"] if typos[s] is None else min(typos[s], o["dist"])
-            places[s].add(o["key"])
-            if t == last:
-                everywhere = n - 1
-            elif t % 2:
-                near[s], typos[s + 1] = 1, 0
-                places[s + 1].add(o["key"])
-        if everywhere is not None:
-            typos = [0] * n
-    spare = [t for t in typos if t is not None]
-    total = sum(min(spare, default=0) if t is None else t for t in typos)  # a slot whose word an earlier one took counts as that one
-    if everywhere is not None:
-        return _result(total, everywhere, lowest, exact)
-    ordered = [sorted(p) for p in places]
-    proximity = sum(near[i] or _walk(ordered[i], ordered[i + 1]) for i in range(n - 1))
-    return _result(total, proximity, lowest, exact)
-
-
-def _result(typos: int, proximity: int, key: int, exact: int) -> dict:
-    return {"typos": typos, "proximity": proximity, "field": key // _FIELD, "position": key % _FIELD, "exact": exact}
 
 
 def ranked(found: DataFrame, plan: TextPlan) -> DataFrame:
-    """_docid and the five rank columns of the documents that the plan holds for.
+    """_docid and the five rank columns of the documents that the plan holds for; no Python runs.
 
-    One word needs no Python: exact occurrences, if any, compete alone; the least distance, then the first
-    place, win. For several words the few occurrences of a document go through one Pandas UDF."""
+    One word: exact occurrences, if any, compete alone; the least distance, then the first place, win. Several
+    words: one sort of a document's occurrences by place, and one aggregation of it."""
     key = F.col("priority").cast("long") * _FIELD + F.col("position")
+    low = lambda col, shift, bits: F.shiftright(col, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     if plan.slots == 1:
         word = F.col("word") == plan.words[0]
         # Distance, field and position as one number: its minimum is a hash aggregation, which that of a struct isn't.
-        best = found.groupBy("_docid").agg(F.max(word.cast("int")).alias("exact"), F.min(F.col("dist").cast("long") * _DISTANCE + key).alias("b"))
-        part = lambda over, size: F.floor(F.pmod("b", F.lit(over)) / size).cast("int")
-        return best.select("_docid", F.floor(F.col("b") / _DISTANCE).cast("int").alias("typos"), F.lit(0).alias("proximity"), part(_DISTANCE, _FIELD).alias("field"), part(_FIELD, 1).alias("position"), "exact")
-    flags = [F.max(F.array_contains("terms", i)).alias(f"t{i}") for i in range(len(plan.terms))]
-    per = found.groupBy("_docid").agg(F.collect_list(F.struct(key.alias("key"), "first", "dist", "word")).alias("o"), *flags)
+        best = found.groupBy("_docid").agg(F.max(word.cast("int")).alias("exact"), F.min(F.shiftleft(F.col("dist").cast("long"), _BITS + _FIELD_BITS) + key).alias("b"))
+        return best.select("_docid", low("b", _BITS + _FIELD_BITS, 8).alias("typos"), F.lit(0).alias("proximity"), low("b", _BITS, _FIELD_BITS).alias("field"), low("b", 0, _BITS).alias("position"), "exact")
+    n, first = plan.slots, F.col("first")
+    # Which slots an occurrence stands for; a joined pair of words stands for both, all words joined for everything.
+    joined = (lambda i: F.lit(False)) if n == 2 else (lambda i: first == 2 * i + 1)
+    whole = first == (2 if n == 2 else 2 * n - 1)
+    own = (lambda s: first == s) if n == 2 else (lambda s: F.shiftright(first, 1) == s)
+    rows = found.withColumn("key", key).select("_docid", "word", "first", "dist", "terms", "key", *[(own(s) | joined(s - 1) if s else own(s)).alias(f"s{s}") for s in range(n)])
+    w = Window.partitionBy("_docid").orderBy("key")
+    before, here = w.rangeBetween(Window.unboundedPreceding, -1), w.rangeBetween(0, 0)
+    # Places of neighbouring slots, walked through in order: each is as far as the other's last place before it. A place of both is no distance.
+    rows = rows.withColumns({f"both{i}": F.max(f"s{i + 1}").over(here) for i in range(n - 1)})
+    rows = rows.withColumns({f"to{i}": F.least(F.when(F.col(f"s{i}"), F.col("key") - F.max(F.when(F.col(f"s{i + 1}"), F.col("key"))).over(before)), F.when(F.col(f"s{i + 1}"), F.col("key") - F.max(F.when(F.col(f"s{i}") & ~F.col(f"both{i}"), F.col("key"))).over(before))) for i in range(n - 1)})
+    per = rows.groupBy("_docid").agg(
+        F.min("key").alias("key"), F.max(whole).alias("whole"), *[F.max((F.col("word") == x).cast("int")).alias(f"x{i}") for i, x in enumerate(plan.words)],
+        *[F.min(F.when(own(s), F.col("dist"))).alias(f"d{s}") for s in range(n)], *[F.max(joined(i)).alias(f"j{i}") for i in range(n - 1)],
+        *[F.least(F.lit(FAR), F.coalesce(F.min(f"to{i}"), F.lit(FAR))).alias(f"p{i}") for i in range(n - 1)], *[F.max(F.array_contains("terms", i)).alias(f"t{i}") for i in range(len(plan.terms))],
+    )
     per = per.filter(holds(plan, lambda i: F.col(f"t{i}")))
-
-    def run(lists: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_rank(list(o), plan) for o in lists], columns=list(RANK))
-
-    return per.select("_docid", F.pandas_udf(run, _RANK_TYPE)("o").alias("r")).select("_docid", "r.*")
+    typos = [F.when(F.col(f"j{s - 1}"), 0).otherwise(F.col(f"d{s}")) if s else F.col("d0") for s in range(n)]
+    spare = F.coalesce(F.least(*typos), F.lit(0))  # a slot whose word an earlier one took counts as that one
+    total = reduce(add, [F.coalesce(t, spare) for t in typos])
+    proximity = reduce(add, [F.when(F.col(f"j{i}"), 1).otherwise(F.col(f"p{i}")) for i in range(n - 1)])
+    exact = reduce(add, [F.col(f"x{i}") for i in range(n)])
+    return per.select(
+        "_docid", F.when(F.col("whole"), 0).otherwise(total).cast("int").alias("typos"), F.when(F.col("whole"), n - 1).otherwise(proximity).cast("int").alias("proximity"),
+        low("key", _BITS, _FIELD_BITS).alias("field"), low("key", 0, _BITS).alias("position"), exact.cast("int").alias("exact"),
+    )
 
 
 def unranked(docs: DataFrame) -> DataFrame:

@@ -107,6 +107,22 @@ def infer_schema(rows: Iterable[dict]) -> T.StructType:
     return out
 
 
+def merged_schema(old: T.StructType, new: T.StructType) -> T.StructType:
+    """What documents of schema `new` after those of `old` make of it."""
+    return _merge(old, new)
+
+
+def without_void(t: T.DataType) -> T.DataType:
+    """t with strings where nothing but nulls was seen."""
+    if isinstance(t, T.NullType):
+        return T.StringType()
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(without_void(t.elementType))
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, without_void(f.dataType)) for f in t.fields])
+    return t
+
+
 @dataclass
 class Mapping:
     """Fields with their roles. Priorities count within strings, numbers, booleans and facets, in the order of the settings."""

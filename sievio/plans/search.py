@@ -89,12 +89,20 @@ class Search:
         top = rank.page(self.matches(ranks=True), p.keys, p.page, s.hitsPerPage)
         # A page has at most maxHits (1000) rows: whole documents are fetched for these only, and put in order again.
         asc = self.index.documents.join(F.broadcast(top), "_docid").orderBy(*rank.order(p.keys)).limit(max(1, s.hitsPerPage)).drop(*[f"_k{i}" for i in range(len(p.keys))])
+        return self._shown(asc)
+
+    def rows(self) -> DataFrame:
+        """All matches as hits are shown, in no order and without a page."""
+        return self._shown(self.matches(ranks=self.plan.explain))
+
+    def _shown(self, rows: DataFrame) -> DataFrame:
+        p, s = self.plan, self.plan.settings
         if p.explain:
-            asc = asc.withColumn("_explain", F.struct(*[F.col(r) for r in s.rankAlgorithm]) if s.rankAlgorithm else F.struct(F.lit(0).alias("none")))
-        asc = asc.drop(*rank.RANK, "_shard")
+            rows = rows.withColumn("_explain", F.struct(*[F.col(r) for r in s.rankAlgorithm]) if s.rankAlgorithm else F.struct(F.lit(0).alias("none")))
+        rows = rows.drop(*rank.RANK, "_shard")
         keep = ("_explain",) if s.getFields is not None else ("_id", "_docid", "_explain")
-        asc = project.get_fields(asc, s.getFields, keep)
-        return highlight.highlighted(asc, p.words, s.highlightFields if p.words.words else None, s.highlightSource)
+        rows = project.get_fields(rows, s.getFields, keep)
+        return highlight.highlighted(rows, p.words, s.highlightFields if p.words.words else None, s.highlightSource)
 
     def facets(self) -> DataFrame:
         return facets.top_facets(facets.facet_counts(self.matches(), self.index.mapping), self.plan.settings.maxFacetResults)

@@ -33,7 +33,7 @@ def test_query(spark, sf, db, name):
 def test_whole_lists_are_indexed(spark, sf):
     """The values of all components count, not of the first three only."""
     row = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("count(*) n", "sum(size(embedding)) m").first()
-    counts = catalogue.whole_vectors(spark, sf).query({}).matches().selectExpr("count(*) n", "sum(size(v)) m").first()
+    counts = catalogue.vectors(spark, sf).query({}).matches().selectExpr("count(*) n", "sum(size(v)) m").first()
     assert counts == row and row["m"] > 3 * row["n"]
 
 

@@ -297,3 +297,215 @@ def test_engine_is_saved(spark, tmp_path):
     status, r = again.request("POST", "1/indexes/i/query", {"q": "hel"}, app.app_id, key.value)
     assert status == 200 and r["totalHits"] == 1 and again.request("GET", "1/version", None, "m", "k")[0] == 200
     assert again.request("GET", "1/indexes/i/1", None, app.app_id, app.api_key)[1]["t"] == "hello"
+
+
+def test_late_fields_are_found(spark, tmp_path):
+    """A field that comes up after any number of lines, in the second of several files, has the type that it has first."""
+    from sievio.sources.readers import read_documents
+
+    (tmp_path / "in").mkdir()
+    lines = [json.dumps({"a": i} | ({"late": "x", "deep": {"n": [1]}} if i > 1200 else {})) for i in range(1500)]
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines) + "\n\n")
+    (tmp_path / "in" / "b.json").write_text('{"late": 5, "last": null}\n')
+    table = read_documents(spark, str(tmp_path / "in"))
+    assert dict(table.dtypes) == {"a": "double", "late": "string", "deep": "struct<n:array<double>>", "last": "string"}
+    assert table.count() == 1501 and table.filter("late = 'x'").count() == 299
+    (tmp_path / "in" / "c.json").write_text("[1]\n")
+    with pytest.raises(QueryError):
+        read_documents(spark, str(tmp_path / "in"))
+
+
+def test_adds_by_both_routes(spark):
+    """Nothing is lost, whichever way documents come and in whatever order."""
+    index = SearchIndex(spark, "t", {"indexedFields": ["t", "n"]})
+    table = lambda *rows: spark.createDataFrame(rows, "_id string, t string, n long")
+    index.add({"_id": "1", "t": "one", "n": 1})
+    index.add(table(("2", "two", 2), ("3", "three", 3)))
+    index.add({"_id": "4", "t": "four", "n": 4})
+    assert sorted(r["_id"] for r in index.documents.collect()) == ["1", "2", "3", "4"] and index.get("2")["t"] == "two"
+    index.add({"_id": "2", "t": "zwei", "n": 2.5})
+    index.patch("3", {"t": "drei"})
+    index.delete("1")
+    index.add(table(("4", "vier", 4), ("5", "five", 5)))
+    index.replace("5", {"t": "fuenf"})
+    got = {r["_id"]: (r["t"], r["n"]) for r in index.documents.collect()}
+    assert got == {"2": ("zwei", 2.5), "3": ("drei", 3.0), "4": ("vier", 4.0), "5": ("fuenf", None)}
+    assert len({r["_docid"] for r in index.documents.collect()}) == 4 and total(index, {"q": "vier"}) == 1
+    for i in (1, 7):
+        with pytest.raises(NotFound):
+            index.get(str(i))
+    for n in range(10):  # plans don't grow with the number of changes
+        index.merge_table(table((f"m{n}", "more", n)))
+    assert index.documents.count() == 14 and index.documents._jdf.queryExecution().logical().toString().count("Join") <= 12
+    index.clear()
+    assert index.documents.count() == 0
+    index.add({"_id": "x", "t": "after"})
+    assert total(index, {"q": "after"}) == 1
+
+
+def test_patch_by_table(spark):
+    """New columns are added; of several rows of an id one counts."""
+    index = SearchIndex(spark, "t", {"indexedFields": ["t"]})
+    index.add([{"_id": str(i), "t": f"w{i}"} for i in range(3)])
+    index.patch_table(spark.createDataFrame([("1", "new", 1, 1), ("1", "newer", 2, 2), ("9", "none", 3, 3), ("2", None, 4, 4)], "_id string, t string, extra int, at int"), order="at")
+    got = {r["_id"]: (r["t"], r["extra"]) for r in index.documents.collect()}
+    assert got == {"0": ("w0", None), "1": ("newer", 2), "2": ("w2", 4)}
+
+
+def test_one_row_of_an_id_is_merged(spark):
+    index = SearchIndex(spark, "t", {"indexedFields": ["t"]})
+    rows = spark.createDataFrame([("1", "a", 1), ("1", "b", 3), ("1", "c", 2), (None, "d", 0), (None, "e", 0)], "_id string, t string, at int")
+    index.merge_table(rows.filter("_id is not null"), order="at")
+    assert [r["t"] for r in index.documents.collect()] == ["b"]
+    index.merge_table(rows.filter("_id is null"))
+    found = index.documents.collect()
+    assert len(found) == 3 and {r["_id"] for r in found} == {r["_id"] for r in index.documents.collect()}
+    assert index.query({"q": "d"}).hits().select("_id").first()[0] in {r["_id"] for r in found}
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    from sievio.streaming.ingest import ingest
+
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("_id string, t string").json(str(tmp_path / "in"))
+    (tmp_path / "in" / "a.json").write_text('{"_id": "1", "t": "hello"}\n{"_id": "2", "t": "world"}\n')
+    ingest(stream, SearchIndex(spark, "s", {"indexedFields": ["t"]}), str(tmp_path / "check")).awaitTermination()
+    (tmp_path / "in" / "b.json").write_text('{"_id": "2", "t": "again"}\n{"_id": "3", "t": "third"}\n')
+    index = SearchIndex(spark, "s", {"indexedFields": ["t"]})
+    ingest(stream, index, str(tmp_path / "check")).awaitTermination()
+    assert sorted((r["_id"], r["t"]) for r in index.documents.collect()) == [("1", "hello"), ("2", "again"), ("3", "third")]
+    assert total(index, {"q": "hel"}) == 1 and total(index, {"q": "world"}) == 0
+
+
+def test_far_words(spark):
+    """A word beyond place 2^20 keeps its field and its place, by one word and by two."""
+    long = "x " * 1_048_580 + "needle pin"
+    index = build(spark, [{"a": long, "b": "pin"}], ["a", "b"])
+    (h,) = explains(index, "needle ")
+    assert (h["field"], h["position"]) == (0, 1_048_581)
+    (h,) = explains(index, "needle pin ")
+    assert (h["field"], h["position"], h["proximity"]) == (0, 1_048_581, 1)
+
+
+def test_jobs_wait_their_turn(spark):
+    import threading
+
+    from sievio.errors import SearchError
+    from sievio.index import _Jobs
+
+    jobs, order, first = _Jobs(3), [], threading.Event()
+
+    def job(n):
+        with jobs:
+            first.wait(10)
+            order.append(n)
+
+    threads = []
+    for n in range(3):
+        threads.append(threading.Thread(target=job, args=(n,)))
+        threads[-1].start()
+        while jobs.waiting <= n:
+            pass
+    with pytest.raises(SearchError) as e, jobs:
+        pass
+    assert e.value.status == 429 and jobs.waiting == 3
+    first.set()
+    for t in threads:
+        t.join()
+    assert order == [0, 1, 2] and jobs.waiting == 0
+
+
+def test_snippets(spark):
+    index = build(spark, [{"t": "one two three amazon five six", "o": {"t": "far amazon near"}, "l": ["an amazon", "none here"]}], ["t", "o.t", "l"])
+    (row,) = index.query({"q": "amazon", "highlightFields": ["t:2", "o.t:1", "l:1"]}).hits().collect()
+    assert row["_highlight"]["t"] == "three <mark>amazon</mark>" and row["_highlight"]["o"]["t"] == "<mark>amazon</mark>"
+    assert row["_highlight"]["l"] == ["<mark>amazon</mark>", "none"] and row["t"] == "one two three amazon five six"
+
+
+def test_package_for_workers(spark):
+    from sievio.sources.staging import ship
+
+    ship(ship(spark))
+    assert "sievio.zip" in " ".join(spark.sparkContext.listFiles if isinstance(spark.sparkContext.listFiles, list) else spark.sparkContext.listFiles())
+
+
+def _walk(a: list[int], b: list[int]) -> int:
+    """The least distance that a merge walk over two sorted lists of places meets, at most 8; equal places don't count."""
+    best, i, j = 8, 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] != b[j]:
+            best = min(best, abs(a[i] - b[j]))
+        if a[i] <= b[j]:
+            i += 1
+        else:
+            j += 1
+    return best
+
+
+def _rank(occurrences: list[dict], plan) -> dict:
+    """The rank of a document with these matched occurrences (key, first, dist, word), two words or more."""
+    n = plan.slots
+    literal = set(plan.words) & {o["word"] for o in occurrences}
+    exact = sum(w in literal for w in plan.words)
+    typos: list[int | None] = [None] * n
+    spare: list[int] = []
+    places: list[set[int]] = [set() for _ in range(n)]
+    near = [None] * n
+    everywhere = None
+    lowest = min(o["key"] for o in occurrences)
+    if n == 2:
+        for o in occurrences:
+            if o["first"] < 2:
+                s = o["first"]
+                typos[s] = o["dist"] if typos[s] is None else min(typos[s], o["dist"])
+                places[s].add(o["key"])
+            else:
+                near[0], typos = 1, [0, 0]
+                places[0].add(o["key"])
+                places[1].add(o["key"])
+                break
+        if near[0] == 1:
+            return _result(0, 1, lowest, exact)
+    else:
+        last = 2 * n - 1
+        for o in occurrences:
+            t, s = o["first"], o["first"] // 2
+            typos[s] = o["dist"] if typos[s] is None else min(typos[s], o["dist"])
+            places[s].add(o["key"])
+            if t == last:
+                everywhere = n - 1
+            elif t % 2:
+                near[s], typos[s + 1] = 1, 0
+                places[s + 1].add(o["key"])
+        if everywhere is not None:
+            typos = [0] * n
+    spare = [t for t in typos if t is not None]
+    total = sum(min(spare, default=0) if t is None else t for t in typos)  # a slot whose word an earlier one took counts as that one
+    if everywhere is not None:
+        return _result(total, everywhere, lowest, exact)
+    ordered = [sorted(p) for p in places]
+    proximity = sum(near[i] or _walk(ordered[i], ordered[i + 1]) for i in range(n - 1))
+    return _result(total, proximity, lowest, exact)
+
+
+def _result(typos: int, proximity: int, key: int, exact: int) -> dict:
+    return {"typos": typos, "proximity": proximity, "field": key // (1 << 40), "position": key % (1 << 40), "exact": exact}
+
+
+@pytest.mark.parametrize("q", ["red gizm", "aa bb ", "abcd abce ", "one two thre", "aa bb cc dd ", "one one ", "abcd abcd abcd "])
+def test_ranks_of_several_words(spark, q):
+    """The plan's ranks are those of a walk over each document's occurrences."""
+    import random
+
+    from sievio.operators import match, rank
+
+    rnd, plan = random.Random(q), text_plan(q)
+    words = sorted({t.word for t in plan.terms} | {"redgizmo", "gizmo", "abcf", "xx", "twothree", "aabb", "three"})
+    index = build(spark, [{"a": " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 12))), "b": " ".join(rnd.choice(words) for _ in range(rnd.randrange(4)))} for _ in range(80)], ["a", "b"])
+    found = match.occurrences(index.postings(), plan, index.vocabulary())
+    per = {}
+    for r in found.collect():
+        per.setdefault(r["_docid"], []).append({"key": r["priority"] * (1 << 40) + r["position"], "first": r["first"], "dist": r["dist"], "word": r["word"]})
+    got = {r["_docid"]: tuple(r[c] for c in rank.RANK) for r in rank.ranked(found, plan).collect()}
+    held = {r["_docid"] for r in match.matching(found, plan).collect()}
+    assert set(got) == held and got == {d: tuple(_rank(per[d], plan)[c] for c in rank.RANK) for d in held}
