@@ -8,22 +8,17 @@ import posixpath
 import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = str(Path(__file__).resolve().parents[2])
-
+from ..sources.staging import ship
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    if REPO not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (REPO, env.get("PYTHONPATH", "")) if x)
-    return spark
+    """Gives this package to the session's Python workers, wherever these run."""
+    return ship(spark)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -96,6 +91,13 @@ def get_file(uri: str) -> pa.Buffer:
         return f.read_buffer()
 
 
+def reader_of(uri: str):
+    """read(offset, n) of a file where it lies."""
+    fs, path = opened(uri)
+    f = fs.open_input_file(path)
+    return lambda offset, n: f.read_at(n, offset)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """A text column as a list; null is the empty text."""
     return ["" if t is None else t for t in column.to_pylist()]

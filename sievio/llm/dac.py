@@ -106,3 +106,32 @@ class DacShard:
 
     def doc(self, k: int) -> np.ndarray:
         return self.slice(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
+
+
+class DacFile:
+    """A shard file where it lies: at(i) reads its header once, and for a value a few bytes of each level.
+
+    `read(offset, n)` gives n bytes of the file."""
+
+    def __init__(self, read):
+        self.read = read
+        if bytes(read(0, 8)) != MAGIC:
+            raise ValueError("not a shard of directly addressable codes")
+        (size,) = struct.unpack("<I", read(8, 4))
+        head = json.loads(bytes(read(12, size)))
+        self.n, starts = head["n"], np.cumsum([12 + size, *head["sizes"]]).tolist()
+        self.levels = [starts[i : i + 3] for i in range(0, len(head["sizes"]) - 3, 3)]
+
+    def at(self, i: int) -> int:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        value = shift = 0
+        for codes, bits, ranks in self.levels:
+            value |= self.read(codes + i, 1)[0] << shift
+            block, first = i // BLOCK, i // BLOCK * (BLOCK // 8)
+            part = self.read(bits + first, i // 8 - first + 1)  # the bitmap from the block's start to the value's byte
+            if not part[-1] >> (i % 8) & 1:
+                return value
+            before = sum(b.bit_count() for b in part[:-1]) + (part[-1] & ((1 << (i % 8)) - 1)).bit_count()
+            i, shift = struct.unpack("<Q", self.read(ranks + 8 * block, 8))[0] + before, shift + CHUNK
+        raise ValueError("the last level goes on")

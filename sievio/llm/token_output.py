@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import zlib
 from collections.abc import Iterator
@@ -11,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import basic, get_file, prepare, put_file, shared_path, texts_of
-from .dac import DacShard, dac_file
+from .common import basic, get_file, prepare, put_file, reader_of, shared_path, texts_of
+from .dac import DacFile, DacShard, dac_file
 from .encoding import END, encoder
 
 _DONE = "shard int, uri string, n_docs long, n_tokens long, n_bytes long"
@@ -83,11 +84,11 @@ def read_token_files(spark: SparkSession, manifest: list[dict]) -> DataFrame:
 
 
 def token_at(manifest: list[dict], position: int) -> int:
-    """The id at a place in the whole sequence, read from one file's levels and directories."""
-    for m in manifest:
-        if m["before"] <= position < m["before"] + m["n_tokens"]:
-            return DacShard(get_file(m["uri"])).at(position - m["before"])
-    raise IndexError(position)
+    """The id at a place in the whole sequence: its file by bisection of the manifest, then a few bytes of that file's levels."""
+    k = bisect.bisect_right([m["before"] for m in manifest], position) - 1
+    if k < 0 or position >= manifest[k]["before"] + manifest[k]["n_tokens"]:
+        raise IndexError(position)
+    return DacFile(reader_of(manifest[k]["uri"])).at(position - manifest[k]["before"])
 
 
 def token_output(docs: DataFrame, vocabulary: str, folder: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -11,8 +12,12 @@ import xxhash
 
 import corpus_pipeline
 from sievio.llm import embeddings as emb
+from sievio.llm import secrets as sec
 from sievio.llm import simhash
+from sievio.llm import toxicity as tox
+from sievio.llm.encoding import TextEncoder, vocabulary
 from sievio.llm.graph import components
+from sievio.llm.mixing import CURRICULUM, mix
 
 
 def classes(n, links):
@@ -168,8 +173,78 @@ def test_pipeline(spark, sf, docs, rows, tmp_path):
 
 def test_near_duplicate_stage(spark, docs, rows, sf):
     kept = Counter(r["doc_id"] for r in corpus_pipeline.near_duplicate(spark, docs, sf).collect())
-    assert kept[None] == 2 and kept[6] == 1 and kept[7] == 0 and kept[20] == 1 and kept[8] == 0
-    assert all(kept[i] == 1 for i in (0, 1, 2))  # without words: no duplicates of anything
+    assert kept[None] == 1 and kept[6] == 1 and kept[7] == 0 and kept[20] == 1 and kept[8] == 0
+    assert [kept[i] for i in (0, 1, 2)] == [1, 0, 0]  # rows without words are one group; the row without words and id is of it
+    assert all(n == 1 for n in kept.values())
+
+
+def test_stages_against_direct_versions(spark, docs, rows, sf, tmp_path):
+    """Each stage's rows, on what the one before wrote, from plain Python."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    insults = [f"a{i} scum b{i} moron c{i}" for i in range(40)]
+    extra = spark.createDataFrame([(5000 + i, t, "en", f"src{i % 4}", len(t)) for i, t in enumerate([*insults, *(f"plain words {i} of no harm {i * 7} at all {i * 3}" for i in range(120))])], "doc_id long, text string, lang string, source string, n_chars long")
+    table = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(extra)
+    labels.select("doc_id", "toxic").filter("doc_id < 0").union(extra.selectExpr("doc_id", "int(doc_id < 5040)")).write.parquet(f"{tmp_path}/labels.parquet")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    step, got = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        before = [tuple(r) for r in step.collect()]
+        stage(spark, step, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        step = spark.read.parquet(f"{tmp_path}/{name}")
+        got.append((before, [tuple(r) for r in step.collect()]))
+    (b0, a0), (b1, a1), (b2, a2), (b3, a3), (b4, a4) = got
+
+    model = tox.train(table, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    total = lambda t: sum(w for e, w in model["weights"].items() for i in range(len(t)) if t.startswith(e, i))
+
+    def toxic(text):
+        words, n = tox._folded(text or "")
+        x = total(f" {' '.join(words)} ")
+        c = model["curve"]
+        return 1 / (1 + math.exp(-(c[0] + c[1] * math.log1p(x) + c[2] * math.log1p(100 * x / max(20, n))))) >= 0.3
+
+    assert not model["places"] and Counter(a0) == Counter(r for r in b0 if not toxic(r[1])) and len(a0) == len(b0) - 40
+
+    fps = [direct_fingerprint(r[1]) for r in b1]
+    label = classes(len(b1), [(i, j) for i in range(len(b1)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 6])
+    groups = {c: [r for r, k in zip(b1, label) if k == c] for c in set(label)}
+    want = Counter(min(r[0] for r in g if r[0] is not None) if any(r[0] is not None for r in g) else None for g in groups.values())
+    assert Counter(r[0] for r in a1) == want and set(a1) <= set(b1)
+
+    def cut(text):
+        own, done, out = sorted((s for s in sec.found_in(text or "") if s[4] and s[3] not in examples), key=lambda s: s[:2]), 0, []
+        for a, _, b, _, _ in own:
+            if a >= done:
+                out += [text[done:a], "[SECRET]"]
+            done = max(done, b)
+        return "".join(out) + text[done:] if own else text
+
+    owners = {}
+    for r in b2:
+        for s in sec.found_in(r[1] or ""):
+            owners.setdefault(s[3], set()).add(r[3])
+    examples = {v for v, s in owners.items() if len(s) >= min(5, len({r[3] for r in b2}))}
+    want = [(r[0], cut(r[1]), *r[2:4], len(cut(r[1])) if cut(r[1]) != r[1] else r[4]) for r in b2]
+    assert Counter(a2) == Counter(want) and any("[SECRET]" in (r[1] or "") for r in a2)
+
+    assert set(a3) <= set(b3) and max(Counter(a3).values()) <= 3
+    read = Counter()
+    size = lambda t: len((t or "").replace("\x1c", "x").split())
+    for r in a3:
+        read[r[3]] += size(r[1])
+    for r in mix(spark.read.parquet(f"{tmp_path}/{corpus_pipeline.STAGES[2][0]}"), CURRICULUM).select("source", "target").distinct().collect():
+        assert abs(read[r["source"]] - r["target"]) <= max(size(x[1]) for x in b3 if x[3] == r["source"])
+
+    enc, pieces = TextEncoder(vocabulary()).tokenizer, Counter()
+    for r in b4:
+        ids = enc.encode(r[1] or "", add_special_tokens=False).ids + [1]
+        for k, a in enumerate(range(0, len(ids), 4096)):
+            pieces[r[0], k, a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())] += 1
+    assert Counter(r[:5] for r in a4) == pieces
+    per = {}
+    for r in a4:
+        per.setdefault(r[5], []).append((r[6], r[3]))
+    assert all(o == sum(n for _, n in sorted(s)[:i]) for s in per.values() for i, (o, _) in enumerate(sorted(s))) and all(sum(n for _, n in s) <= 4096 for s in per.values())
 
 
 def test_stage_on_empty(spark, empty, sf):

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sievio.llm.dac import DacShard, dac_file
+from sievio.llm.dac import DacFile, DacShard, dac_file
 from sievio.llm.encoding import TextEncoder, vocabulary
 from sievio.llm.packing import best_fit_decreasing, pack
 from sievio.llm.token_output import token_at, token_output, write_token_files
@@ -34,18 +34,34 @@ def test_encoding_is_the_librarys(encoder, texts):
 @settings(max_examples=60, deadline=None)
 def test_codes_are_addressable(values, data):
     ends = np.array([len(values) // 2, len(values)], np.uint64)
-    shard = DacShard(b"".join(dac_file(np.array(values, np.uint32), [None, 7], ends)))
+    raw = b"".join(dac_file(np.array(values, np.uint32), [None, 7], ends))
+    shard = DacShard(raw)
     assert shard.slice(0, len(values)).tolist() == values
     assert shard.doc(0).tolist() + shard.doc(1).tolist() == values
     for _ in range(min(20, len(values))):
         i = data.draw(st.integers(0, len(values) - 1))
         assert shard.at(i) == values[i]
+        assert DacFile(lambda offset, n: raw[offset : offset + n]).at(i) == values[i]
     if values:
         a = data.draw(st.integers(0, len(values) - 1))
         b = data.draw(st.integers(a, len(values)))
         assert shard.slice(a, b).tolist() == values[a:b]
 
 
+def test_a_value_costs_few_bytes():
+    values = np.random.default_rng(1).integers(0, 2**20, 100_000).astype(np.uint32)
+    raw, read = b"".join(dac_file(values, [1], np.array([100_000], np.uint64))), []
+
+    def part(offset, n):
+        read.append(n)
+        return raw[offset : offset + n]
+
+    file = DacFile(part)
+    read.clear()
+    assert [file.at(i) for i in range(0, 100_000, 1009)] == values[::1009].tolist()
+    assert sum(read) < 100 * 300
+
+
 def test_token_output(docs, rows, empty, encoder):
     got = Counter(tuple(r) for r in token_output(docs, vocabulary()).select("doc_id", "n_tokens", "ids_crc32").collect())
     want = Counter((r[0], len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for r in rows for i in [direct(encoder, r[1])])
