@@ -171,7 +171,7 @@ r AS (
 p AS (
   SELECT *, ahead / target AS x, (ahead + source_size * (readings - 1)) / target AS y FROM r)
 SELECT doc_id, source, size, source_size, target, taken, readings,
-       CASE WHEN taken > 0 THEN round(CASE class WHEN 1 THEN (sqrt(64 - 12 * (x * 5)) - 8) / -6 WHEN 2 THEN x * 2 / 2 ELSE sqrt(4 * x) / 2 END, 9) END AS position,
-       CASE WHEN taken > 0 THEN round(CASE class WHEN 1 THEN (sqrt(64 - 12 * (y * 5)) - 8) / -6 WHEN 2 THEN y * 2 / 2 ELSE sqrt(4 * y) / 2 END, 9) END AS last_position
+       CASE WHEN taken > 0 THEN round(CASE class WHEN 1 THEN (sqrt(64 - 12 * (x * 5)) - 8) / -6 WHEN 2 THEN x * 2 / 2 ELSE sqrt(4 * x) / 2 END, 9) + 0.0 END AS position,
+       CASE WHEN taken > 0 THEN round(CASE class WHEN 1 THEN (sqrt(64 - 12 * (y * 5)) - 8) / -6 WHEN 2 THEN y * 2 / 2 ELSE sqrt(4 * y) / 2 END, 9) + 0.0 END AS last_position
 FROM p
 """
