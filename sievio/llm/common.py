@@ -53,6 +53,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a shuffle may bring together; commoner keys are joined by broadcast.
+HOT_KEY = 1 << 16
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with a table that has one line for each key and the number `n` of rows that have it.
+
+    Lines of keys with more than HOT_KEY rows, of which there is one for every HOT_KEY rows at most, are broadcast,
+    and their rows stay where they are; so no task gets more of a key. `n` is left out."""
+    table = table.withColumn("_there", F.lit(True))
+    common = rows.join(F.broadcast(table.filter(F.col(n) > HOT_KEY)), key, "left")
+    rest = common.filter("_there is null").select(*rows.columns).join(table.filter(F.col(n) <= HOT_KEY), key, how)
+    return common.filter("_there").unionByName(rest).drop("_there", n)
+
+
 def basic(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns of docs in the types that the operators work with; any others, whatever their names, are left out."""
     kinds = {"doc_id": "long", "vec_id": "long", "page_id": "long"}

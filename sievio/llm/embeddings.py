@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import get_file, prepare, put_file, shared_path, staged
+from .common import get_file, join_counted, prepare, put_file, shared_path, staged
 from .graph import components
 from .simhash import forest
 
@@ -397,9 +397,9 @@ def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     more = found.filter("other is null").groupBy("node").agg(F.sum("more").alias("more"))
     parts = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "vector-components")
     grouped = nodes.select("key", "node", "n", "first").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    known = grouped.join(least, "component").join(more, "node", "left").select("key", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "key").join(known, "key", "left")
+    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("_rows"))
+    known = join_counted(grouped, least, "component", "_rows").join(more, "node", "left").select("key", "n", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
+    out = join_counted(rows.select("vec_id", "key"), staged(known, "vector-classes"), "key", how="left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("vec_id").isNull()))
 

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import join_counted, staged
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node's smaller neighbours, and the node, to the smallest of them."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return join_counted(edges, low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours to its smallest neighbour, or to itself if it is the smallest."""
     both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return join_counted(both.filter("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Stars alternate until the links no longer change; then all of a component's nodes
     hang on its smallest. No node's neighbours are gathered: minima are aggregated
-    before the shuffle and joined back. Links to oneself and nulls are ignored."""
+    before the shuffle and joined back, those of nodes with very many neighbours by
+    broadcast. Links to oneself and nulls are ignored."""
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     now, last = staged(now, name), None
     while True:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import basic, prepare, staged, texts_of
+from .common import basic, join_counted, prepare, staged, texts_of
 from .graph import components
 
 DISTANCE = 6
@@ -243,6 +243,6 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int | Non
     more = found.filter("other is null").groupBy("fp").agg(F.sum("more").alias("more"))
     parts = components(found.filter("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b")), "simhash-components").withColumnRenamed("node", "fp")
     grouped = nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    table = grouped.join(least, "component").join(more, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"), "component_id")
-    return prints.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("_rows"))
+    table = join_counted(grouped, least, "component", "_rows").join(more, "fp", "left").select("fp", "n", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"), "component_id")
+    return join_counted(prints, staged(table, "simhash-classes"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from sievio.llm import common
 from sievio.llm import embeddings as emb
 from sievio.llm import secrets as sec
 from sievio.llm import simhash
@@ -34,7 +35,9 @@ def classes(n, links):
     return [root(i) for i in range(n)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [common.HOT_KEY, 3])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_KEY", hot)
     rnd = random.Random(3)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -93,6 +96,7 @@ def test_simhash_in_wider_blocks(spark, blocks):
 @pytest.mark.parametrize("cell", [simhash.CELL, (2, 3)])
 def test_simhash(docs, rows, empty, monkeypatch, cell):
     monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(common, "HOT_KEY", 2 if cell == (2, 3) else common.HOT_KEY)
     fps = [direct_fingerprint(r[1]) for r in rows]
     links = [(i, j) for i in range(len(rows)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 6]
     near, label = Counter(x for p in links for x in p), classes(len(rows), links)
