@@ -345,6 +345,26 @@ def test_blocks_are_skipped(tmp_path):
     assert shard.read < 0.8 * shard.all
 
 
+def test_search_in_waves(spark, docs, rows, tmp_path):
+    """Shards behind the first wave give only what reaches its scores, ties included: the same result from a few rows of each."""
+    texts = [(r[0], r[1]) for r in rows if r[0] is not None] * 8
+    many = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    asked = F.col("doc_id") % 7 == 0
+    order = lambda df: [tuple(r) for r in df.orderBy("query_id", "rank").collect()]
+    assert order(search(many.repartition(17, "doc_id"), asked, 3)) == order(search(many.coalesce(1), asked, 3))
+    doc, term, count, lengths = srch._counted([t or "" for _, t in texts])
+    vocabulary, place = np.unique(term, return_inverse=True)
+    uri = f"file://{tmp_path}/shard"
+    srch.put_file(uri, srch._dump([np.arange(len(texts)), np.ones(len(texts), np.uint8), lengths, doc, place.astype(np.int32), count, vocabulary]))
+    shard = srch.Shard(uri)
+    shard.weigh(float(lengths.mean()))
+    queries = [(place[doc == d], np.ones((doc == d).sum())) for d in range(len(texts)) if (doc == d).any()][:50]
+    whole = list(shard.best(queries, len(texts)))
+    reach = np.array([s[min(9, len(s) - 1)] for _, s in whole])
+    for (found, scores), (own, high), least in zip(whole, shard.best(queries, len(texts), reach), reach):
+        assert (own.tolist(), high.tolist()) == (found[scores >= least].tolist(), scores[scores >= least].tolist())
+
+
 def test_mix(docs, rows, empty):
     out = mix(docs).toPandas()
     assert len(out) == len(rows)
