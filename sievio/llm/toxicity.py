@@ -109,7 +109,8 @@ def fit(texts: list[tuple[str, int]], support: int = SUPPORT, impure: float = IM
     an entry that starts with another is dropped, and one that
     nearly always goes on in the same way is lengthened. A phrase (an entry after or before a certain
     word) that is in `support` texts, nearly all of them clean, is an exception."""
-    folded = [(*_folded(t), x) for t, x in texts]
+    once: dict[str, str] = {}  # a word is held once, however many texts have it
+    folded = [([once.setdefault(w, w) for w in words], n, x) for t, x in texts for words, n in [_folded(t)]]
     lefts: dict[str, set] = defaultdict(set)
     toxic, clean = Counter(), Counter()
     for words, _, x in folded:

@@ -304,6 +304,20 @@ def brute_bm25(rows, query, k):
     return [round(-s, 6) for s, _, _ in sorted(out)[:k]]
 
 
+def test_fitting_holds_a_word_once():
+    """The texts that the lexicon is fitted on take a pointer for each word, not a string."""
+    import tracemalloc
+
+    rnd = random.Random(2)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    texts = [(" ".join(rnd.choices(words, k=400)), i % 2) for i in range(400)]
+    tracemalloc.start()
+    tox.fit(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000, peak
+
+
 def test_search(docs, rows, empty):
     got = defaultdict(list)
     for r in search(docs, F.col("doc_id") % 5 == 0, 7).orderBy("query_id", "rank").collect():
