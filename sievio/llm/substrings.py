@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -31,7 +32,10 @@ HOT = 1 << 16
 #: Distinct blocks of a part that are held to send equal ones once.
 HELD = 1 << 18
 _FRAME = 1 << 20
-_POOL = 16_000
+#: Bytes that are hashed at a time, so that what is held for each of them stays near the core.
+_STRETCH = 1 << 16
+#: Starts that are looked through together for repeated hashes, and those of them whose factors are.
+_POOL, _FACTORS = 1 << 17, 16_000
 _PLACE = np.uint64((1 << 26) - 1)
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _BLOCKS = "h long, doc_id long, tie long, part int, ord int, pos long, n int, block binary"
@@ -51,6 +55,25 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mix(_mix(_mix(x[:n]) + x[8 : 8 + n]) + x[16 : 16 + n])
 
 
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of x are among the values of `ordered`."""
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x if len(ordered) else np.zeros(len(x), bool)
+
+
+def string_hashes(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Hashes of all substrings of `length` bytes, in order, from those of the GRAM-byte substrings that cover them."""
+    n = max(0, len(data) - length + 1)
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, _STRETCH):
+        h = gram_hashes(data[at : at + _STRETCH + length - 1])
+        m = min(_STRETCH, n - at)
+        own = h[:m]
+        for p in [*range(GRAM, length - GRAM, GRAM), length - GRAM]:
+            own = _mix(own) + h[p : p + m]
+        out[at : at + m] = own
+    return out
+
+
 def anchored(data: np.ndarray, lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of string starts that share an anchor, over documents that lie one after another in data.
 
@@ -58,8 +81,8 @@ def anchored(data: np.ndarray, lengths: np.ndarray, length: int = LENGTH) -> tup
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     ends = np.cumsum(lengths)
     runs = []
-    for at in range(0, max(0, len(data) - length + 1), _FRAME):  # long documents are worked on in stretches
-        own = data[at : at + _FRAME + length - 1]
+    for at in range(0, max(0, len(data) - length + 1), _STRETCH):  # long documents are worked on in stretches
+        own = data[at : at + _STRETCH + length - 1]
         h = gram_hashes(own)
         key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
         width, span = length - GRAM + 1, 1
@@ -297,10 +320,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out: list[tuple] = [(None, None, 0, part, 0, 0, 0, None)]
             for start, ids, there, tie, lengths, data in _frames(place % part) if len(wanted) else ():
                 at, n, h = anchored(data, lengths, length)
-                i = np.flatnonzero(np.isin(h, wanted))
+                i = np.flatnonzero(_among(h, wanted))
                 at, n, h = at[i], n[i], h[i]
                 raw = data.tobytes()
-                split = np.isin(h, hot)
+                split = _among(h, hot)
                 if split.any():  # each string of a hot anchor is a block of its own, in the group of its own hash
                     many = np.where(split, n, 1)
                     within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -363,15 +386,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             pooled = 0
 
         # The rows come sorted by anchor: one anchor's blocks, and the pool, are all that is held.
+        names = ["part", "ord", "pos", "n"]
         for batch in batches:
-            for h, doc_id, tie, part, number, pos, n, block in zip(*(c.to_pylist() for c in batch.columns)):
-                if block is None:
-                    found.append((part, number, pos, n))
-                else:
-                    if h != now:
-                        close()
-                        now = h
-                    group.append((h, doc_id is not None, doc_id or 0, tie, part, number, pos, n, block))
+            there = batch.column(7).is_valid()
+            known = batch.filter(pc.invert(there))
+            if known.num_rows:
+                yield known.select(names)
+            for h, doc_id, tie, part, number, pos, n, block in zip(*(c.to_pylist() for c in batch.filter(there).columns)):
+                if h != now:
+                    close()
+                    now = h
+                group.append((h, doc_id is not None, doc_id or 0, tie, part, number, pos, n, block))
                 if len(found) >= 50_000:
                     yield out()
         close()
@@ -429,9 +454,53 @@ def _firsts(first: dict[bytes, tuple]) -> Iterator[pa.RecordBatch]:
 def _pool_copies(pool: list[tuple], length: int) -> list[tuple]:
     """Runs of string starts in the blocks of the pool whose longest previous factor reaches `length`.
 
-    A string ends within its block, so none of its symbols, nor of those equal to them, is the one that ends blocks."""
+    Equal strings have equal hashes, so a string whose hash is the only one in the pool has no such factor: only the
+    others' starts are looked at, in the order that they have."""
     pool.sort(key=lambda r: r[1:7])
     n = np.array([r[7] for r in pool])
+    sizes = n + length - 1
+    data = np.frombuffer(b"".join(r[8] for r in pool), np.uint8)
+    ends = np.cumsum(n)
+    starts = np.repeat(np.cumsum(sizes) - sizes - (ends - n), n) + np.arange(n.sum())
+    h = string_hashes(data, length)[starts]
+    ordered = np.sort(h)
+    again = _among(h, np.unique(ordered[1:][ordered[1:] == ordered[:-1]]))
+    out: list[tuple] = []
+    for r, f, m in _runs(again, ends):
+        g, is_there, doc_id, tie, part, number, pos, _, block = pool[r]
+        out.append((g, is_there, doc_id, tie, part, number, pos + f, m, block[f : f + m + length - 1]))
+    # Equal strings are in one group, so groups can be worked on a few at a time.
+    out.sort(key=lambda r: r[:7])
+    found: list[tuple] = []
+    own: list[tuple] = []
+    size = 0
+    for r in out:
+        if size >= _FACTORS and r[0] != own[-1][0]:
+            found += _factors(own, length)
+            own, size = [], 0
+        own.append(r)
+        size += r[7]
+    return found + _factors(own, length) if own else found
+
+
+def _runs(marked: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row, first place in it, length) of the runs of marked places, rows ending at `ends`."""
+    begins = np.zeros(len(marked), bool)
+    begins[0] = True
+    begins[ends[:-1]] = True
+    first = np.flatnonzero(marked & (begins | ~np.concatenate([[False], marked[:-1]])))
+    stop = np.flatnonzero(np.concatenate([~marked | begins, [True]]))
+    last = stop[np.searchsorted(stop, first, "right")]
+    row = np.searchsorted(ends, first, "right")
+    start = np.concatenate([[0], ends[:-1]])[row]
+    return zip(row.tolist(), (first - start).tolist(), (last - first).tolist())
+
+
+def _factors(pool: list[tuple], length: int) -> list[tuple]:
+    """Of the blocks, in order, the runs of string starts whose longest previous factor among them reaches `length`.
+
+    A string ends within its block, so none of its symbols, nor of those equal to them, is the one that ends blocks."""
+    n = np.array([r[7] for r in pool])
     sizes = n + length  # with the end symbol
     data = np.frombuffer(b"".join(r[8] + b"\0" for r in pool), np.uint8)
     stops = np.cumsum(sizes) - 1
@@ -440,11 +509,4 @@ def _pool_copies(pool: list[tuple], length: int) -> list[tuple]:
     symbols[stops] = 0
     starts = np.repeat(stops + 1 - sizes - (np.cumsum(n) - n), n) + np.arange(n.sum())
     previous = longest_previous_factors(symbols, length, starts) >= length
-    ends = np.cumsum(n)
-    begins = np.zeros(len(previous), bool)
-    begins[ends - n] = True
-    first = np.flatnonzero(previous & (begins | ~np.concatenate([[False], previous[:-1]])))
-    stop = np.flatnonzero(np.concatenate([~previous | begins, [True]]))
-    last = stop[np.searchsorted(stop, first, "right")]
-    row = np.searchsorted(ends, first, "right")
-    return [(pool[r][4], pool[r][5], pool[r][6] + int(f - (ends[r] - n[r])), int(e - f)) for r, f, e in zip(row.tolist(), first.tolist(), last.tolist())]
+    return [(pool[r][4], pool[r][5], pool[r][6] + f, m) for r, f, m in _runs(previous, np.cumsum(n))]

@@ -304,6 +304,31 @@ def brute_bm25(rows, query, k):
     return [round(-s, 6) for s, _, _ in sorted(out)[:k]]
 
 
+def test_only_strings_that_repeat_are_sorted(monkeypatch):
+    """Of a large group of strings around one anchor only those that another equals are brought in suffix order."""
+    rnd = random.Random(4)
+    make = lambda n: bytes(rnd.choices(b"abcdefgh ", k=n))
+    anchor, texts = make(24), []
+    for i in range(400):
+        a, b = (texts[i - 7][:70], make(6)) if i % 50 == 20 else (make(70), make(6))
+        texts.append(a + b + anchor + (texts[i - 7][100:] if i % 50 in (20, 30) else make(76)))
+    texts[333] = b"xy" + texts[40][3:150] + b"z" * 27
+    seen, sorted_starts, factors = set(), [], sub.longest_previous_factors
+    monkeypatch.setattr(sub, "longest_previous_factors", lambda symbols, depth, starts=None: sorted_starts.append(len(starts)) or factors(symbols, depth, starts))
+    pool = [(5, True, i, 0, 0, i, 0, len(t) - 99, t) for i, t in enumerate(texts)]
+    rnd.shuffle(pool)
+    want = set()
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 99):
+            want |= {(i, p)} if t[p : p + 100] in seen else set()
+            seen.add(t[p : p + 100])
+    got = {(number, pos + x) for _, number, pos, n in sub._pool_copies(pool, 100) for x in range(n)}
+    assert got == want and want
+    assert sum(sorted_starts) == 2 * len(want)
+    values = np.array([3, 5, 9], np.uint64)
+    assert sub._among(np.array([2, 3, 9, 10], np.uint64), values).tolist() == [False, True, True, False] and not sub._among(values, values[:0]).any()
+
+
 def test_fitting_holds_a_word_once():
     """The texts that the lexicon is fitted on take a pointer for each word, not a string."""
     import tracemalloc
