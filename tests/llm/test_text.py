@@ -384,6 +384,12 @@ def test_blocks_are_skipped(tmp_path):
     assert shard.read < 0.8 * shard.all
 
 
+def test_a_task_has_one_shard(spark):
+    grid = [(f"shard-{i % 25:07d}-00000", f"group-{i // 25:07d}") for i in range(75)]
+    rows = srch._one_to_a_task(spark, grid).withColumn("_at", F.spark_partition_id()).collect()
+    assert sorted((r["shard"], r["queries"]) for r in rows) == sorted(grid) and len({r["_at"] for r in rows}) == len(grid)
+
+
 def test_search_in_waves(spark, docs, rows, tmp_path):
     """Shards behind the first wave give only what reaches its scores, ties included: the same result from a few rows of each."""
     texts = [(r[0], r[1]) for r in rows if r[0] is not None] * 8
