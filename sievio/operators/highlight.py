@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+from itertools import accumulate
+from typing import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +18,9 @@ from ..functions.distance import distances, osa_rows
 from ..functions.terms import Term, TextPlan
 
 START, END = "<mark>", "</mark>"
+#: Characters of texts that are worked on together, chunks kept after them, words whose distances are computed together, rows of JSON.
+PART, KNOWN, WORDS, ROWS = 1 << 20, 200_000, 1 << 15, 1000
+_CHUNK = re.compile(r"\S+")
 
 
 def _spans(text: str) -> list[tuple[int, int, str, list[int]]]:
@@ -54,54 +63,105 @@ def _abbreviated(text: str) -> bool:
     return "." in text or "'" in normalise(text)
 
 
-def _matched(term: Term, word: str) -> int:
-    """How many characters of the word the term marks; 0 if it doesn't match."""
+def _matched(term: Term, words: list[str]) -> np.ndarray:
+    """How many characters of each word the term marks; 0 where it doesn't match."""
     if not term.fuzzy:
-        if term.prefix:
-            return len(term.word) if word.startswith(term.word) else 0
-        return len(word) if word == term.word else 0
+        return np.array([len(term.word) if (w.startswith(term.word) if term.prefix else w == term.word) else 0 for w in words], np.int64)
+    lengths = np.array([len(w) for w in words], np.int64)
     if not term.prefix:
-        return len(word) if distances(term, [word])[0] >= 0 else 0
-    rows = osa_rows(term.word, [word], term.typos)[0]
-    best = int(rows.argmin())
-    return min(best, len(word)) if rows[best] <= term.typos else 0
+        return np.where(distances(term, words) >= 0, lengths, 0)
+    rows = osa_rows(term.word, words, term.typos)
+    return np.where(rows.min(axis=1) <= term.typos, np.minimum(rows.argmin(axis=1), lengths), 0)
+
+
+class Marker(dict):
+    """What stands between white space, where all of a word's state ends, with its matched words marked.
+
+    New ones of a batch of texts are learnt together: each distinct word meets the terms once."""
+
+    def __init__(self, terms: list[Term]):
+        self.terms = terms
+
+    def __missing__(self, chunk: str) -> str:
+        self._learn([chunk])
+        return self[chunk]
+
+    def learn(self, texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+        """The texts in parts, of each of which all chunks are known while it is worked on."""
+        part: list[str | None] = []
+        size = 0
+        for t in texts:
+            part.append(t)
+            size += len(t or "")
+            if size >= PART:
+                self.ready(part)
+                yield part
+                part, size = [], 0
+        self.ready(part)
+        yield part
+
+    def ready(self, part: list[str | None]) -> None:
+        if len(self) >= KNOWN:
+            self.clear()
+        self._learn([c for c in {c for t in part if t for c in t.split()} if c not in self])
+
+    def _learn(self, chunks: list[str]) -> None:
+        spans = [_spans(c) for c in chunks]
+        words = list({s[2] for own in spans for s in own})
+        sizes: dict[str, int] = {}
+        for a in range(0, len(words), WORDS):
+            own = words[a : a + WORDS]
+            n = np.zeros(len(own), np.int64)
+            for term in self.terms:
+                n = np.where(n > 0, n, _matched(term, own))
+            sizes.update(zip(own, n.tolist()))
+        for c, own in zip(chunks, spans):
+            self[c] = self._marked(c, own, sizes)
+
+    @staticmethod
+    def _marked(text: str, spans: list[tuple[int, int, str, list[int]]], sizes: dict[str, int]) -> str:
+        out, done = [], 0
+        for start, end, word, ends in spans:
+            n = sizes[word]
+            if n and start >= done:
+                stop = end if n >= len(word) else ends[n - 1]
+                out += (text[done:start], START, text[start:stop], END)
+                done = stop
+        return "".join(out) + text[done:] if out else text
+
+    def highlight(self, text: str | None) -> str | None:
+        """The text with its matched words, or their best matching beginnings, marked; unchanged without match."""
+        return _CHUNK.sub(lambda m: self[m.group()], text) if text and self.terms else text
+
+    def snippet(self, text: str | None, size: int) -> str | None:
+        """The stretch of `size` words with the most marks, marked; the first of several."""
+        if not text:
+            return text
+        words = text.split()
+        shown = [self[w] for w in words] if self.terms else words
+        sums = list(accumulate((m != w for m, w in zip(shown, words)), initial=0))
+        best = max(range(max(1, len(words) - size + 1)), key=lambda i: sums[min(i + size, len(words))] - sums[i])
+        return " ".join(shown[best : best + size])
 
 
 def highlight(text: str | None, terms: list[Term]) -> str | None:
-    """The text with its matched words, or their best matching beginnings, marked; unchanged without match."""
-    if not text or not terms:
-        return text
-    out, done = [], 0
-    for start, end, word, ends in _spans(text):
-        if start < done:
-            continue
-        n = next((n for n in (_matched(t, word) for t in terms) if n), 0)
-        if n:
-            stop = end if n >= len(word) else ends[n - 1]
-            out += (text[done:start], START, text[start:stop], END)
-            done = stop
-    return "".join(out) + text[done:] if out else text
+    return Marker(terms).highlight(text)
 
 
 def snippet(text: str | None, terms: list[Term], size: int) -> str | None:
-    """The stretch of `size` words with the most marks, marked; the first of several."""
-    if not text:
-        return text
-    words = text.split()
-    marks = [int(highlight(w, terms) != w) for w in words]
-    best = max(range(max(1, len(words) - size + 1)), key=lambda i: (sum(marks[i : i + size]), -i))
-    return highlight(" ".join(words[best : best + size]), terms)
+    return Marker(terms).snippet(text, size)
 
 
 def marked(col: Column, plan: TextPlan, size: int = 0) -> Column:
     """The strings with their matches marked; if `size` is given, their snippets of so many words."""
     terms = plan.terms
-    first = tuple(t.word[:1] for t in terms)
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: (snippet(t, terms, size) if size else highlight(t, terms)) if t else t)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        marker = Marker(terms)
+        for texts in batches:
+            yield pd.Series([marker.snippet(t, size) if size else marker.highlight(t) for part in marker.learn(texts) for t in part], dtype=object)
 
-    return F.pandas_udf(run, "string")(col) if first else col
+    return F.pandas_udf(run, "string")(col) if terms else col
 
 
 def _sizes(fields: list[str]) -> dict[str, int]:
@@ -135,14 +195,15 @@ def _lists(schema: T.StructType, wanted) -> bool:
     return any(deep(f.dataType, f.name, False) for f in schema.fields)
 
 
-def _walk_value(value, path: str, wanted, terms: list[Term]):
+def _walk_value(value, path: str, wanted, change: Callable[[str, int], str]):
+    """The value with change(text, size) in place of each wanted text."""
     if isinstance(value, str):
         size = wanted(path)
-        return value if size is None else snippet(value, terms, size) if size else highlight(value, terms)
+        return value if size is None else change(value, size)
     if isinstance(value, dict):
-        return {k: _walk_value(v, f"{path}.{k}" if path else k, wanted, terms) for k, v in value.items()}
+        return {k: _walk_value(v, f"{path}.{k}" if path else k, wanted, change) for k, v in value.items()}
     if isinstance(value, list):
-        return [_walk_value(v, path, wanted, terms) for v in value]
+        return [_walk_value(v, path, wanted, change) for v in value]
     return value
 
 
@@ -164,8 +225,18 @@ def highlighted(docs: DataFrame, plan: TextPlan, fields: list[str] | None, sourc
 
         terms = plan.terms
 
-        def run(rows: pd.Series) -> pd.Series:
-            return rows.map(lambda r: json.dumps(_walk_value(json.loads(r), "", wanted, terms)))
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            marker = Marker(terms)
+            change = lambda t, size: marker.snippet(t, size) if size else marker.highlight(t)
+            for rows in batches:
+                out = []
+                for a in range(0, len(rows), ROWS):
+                    values, texts = [json.loads(r) for r in rows[a : a + ROWS]], []
+                    for v in values:
+                        _walk_value(v, "", wanted, lambda t, _: texts.append(t))
+                    marker.ready(texts)
+                    out += [json.dumps(_walk_value(v, "", wanted, change)) for v in values]
+                yield pd.Series(out, dtype=object)
 
         copy = F.from_json(F.pandas_udf(run, "string")(F.to_json(whole)), schema)
     else:

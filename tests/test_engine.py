@@ -9,7 +9,7 @@ from sievio.errors import NotFound, QueryError
 from sievio.functions.analyzer import index_tokens, normalise, search_tokens, whitespace_tokens
 from sievio.functions.terms import text_plan
 from sievio.index import SearchIndex
-from sievio.operators.highlight import highlight, snippet
+from sievio.operators.highlight import Marker, highlight, snippet
 
 
 def build(spark, rows, indexed, facets=(), **kw):
@@ -202,6 +202,23 @@ def test_highlight_texts():
     assert snippet("one two three amazon five", terms, 2) == "three <mark>amazon</mark>"
 
 
+def _counted(monkeypatch) -> list[str]:
+    """The words whose distances highlighting computes, filled as it goes."""
+    from sievio.operators import highlight as module
+
+    words, own = [], module.distances
+    monkeypatch.setattr(module, "distances", lambda term, w: words.extend(w) or own(term, w))
+    return words
+
+
+def test_a_word_is_compared_once_for_all_marked_texts(monkeypatch):
+    words = _counted(monkeypatch)
+    marker = Marker(text_plan("hypersmall ").terms)
+    texts = [f"hyper-small bolt {i % 7} end" for i in range(500)]
+    assert [marker.highlight(t) for part in marker.learn([None, *texts]) for t in part] == [None, *[t.replace("hyper-small", "<mark>hyper-small</mark>") for t in texts]]
+    assert len(words) <= 12  # of 3500 occurrences
+
+
 def test_crud(spark):
     rows = [{**r, "str": s} for r, s in zip(ROWS, ["ffff", "gggg", "hhhh", "iiii", "jjjj"])]
     index = build(spark, rows, ["str", "n", "nl", "b"], ["f", "fl"])
