@@ -219,6 +219,16 @@ def test_a_word_is_compared_once_for_all_marked_texts(monkeypatch):
     assert len(words) <= 12  # of 3500 occurrences
 
 
+def test_a_word_is_compared_once_for_all_snippets(monkeypatch):
+    words = _counted(monkeypatch)
+    marker = Marker(text_plan("widget ").terms)
+    texts = [f"some words before red{i % 5} widget and others after" for i in range(500)]
+    assert [marker.snippet(t, 2) for part in marker.learn(texts) for t in part] == [f"red{i % 5} <mark>widget</mark>" for i in range(500)]
+    assert len(words) <= 12
+    long = " ".join(["x"] * 100_000 + ["widget", "y", "widget"])
+    assert marker.snippet(long, 50_000) == " ".join(["x"] * 49_997 + ["<mark>widget</mark>", "y", "<mark>widget</mark>"])  # linear in the text
+
+
 def test_crud(spark):
     rows = [{**r, "str": s} for r, s in zip(ROWS, ["ffff", "gggg", "hhhh", "iiii", "jjjj"])]
     index = build(spark, rows, ["str", "n", "nl", "b"], ["f", "fl"])
