@@ -67,7 +67,8 @@ class SearchIndex:
         self._rows: dict[int, dict] = {}
         self._free: list[int] = []
         self._jobs = _Jobs(MAX_JOBS)
-        self._posts: DataFrame | None = None
+        self._posts: DataFrame | None = None  # saved ones
+        self._blocks: DataFrame | None = None
         self._words: DataFrame | None = None
         self._frozen: T.StructType | None = None
 
@@ -132,9 +133,18 @@ class SearchIndex:
         return Mapping.infer(source, self.settings.indexedFields, self.settings.facetFields)
 
     def postings(self) -> DataFrame:
-        if self._posts is None:
-            self._posts = match.postings(self.documents, self.mapping, self.analyzer).persist()
-        return self._posts
+        """(_docid, priority, word, position)"""
+        return self._posts if self._posts is not None else match.spread(self._kept())
+
+    def _kept(self) -> DataFrame:
+        """The postings as blocks, kept between queries."""
+        if self._blocks is None:
+            self._blocks = match.blocks(self.documents, self.mapping, self.analyzer).persist()
+        return self._blocks
+
+    def lookup(self) -> tuple[DataFrame, DataFrame | None]:
+        """What queries find words in: saved postings and their vocabulary, or blocks, which need none."""
+        return (self._posts, self.vocabulary()) if self._posts is not None else (self._kept(), None)
 
     def vocabulary(self) -> DataFrame:
         """(word, df)"""
@@ -143,10 +153,10 @@ class SearchIndex:
         return self._words
 
     def _changed(self) -> None:
-        for df in (self._posts, self._words):
+        for df in (self._blocks, self._words):
             if df is not None:
                 df.unpersist()
-        self._docs = self._posts = self._words = None
+        self._docs = self._posts = self._blocks = self._words = None
 
     # -- documents, one by one: kept by the driver until a change by table ------
 

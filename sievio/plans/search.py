@@ -67,8 +67,8 @@ class Search:
         docs, words = self.filtered(), self.plan.words
         if not words.words:
             return rank.unranked(docs) if ranks else docs
-        posts = self.index.postings()
-        found = match.occurrences(posts, words, self.index.vocabulary() if any(t.fuzzy for t in words.terms) else None)
+        posts, known = self.index.lookup()
+        found = match.occurrences(posts, words, known)
         ids = rank.ranked(found, words) if ranks else match.matching(found, words)
         return docs.join(ids, "_docid")
 

@@ -536,3 +536,41 @@ def test_ranks_of_several_words(spark, q):
     got = {r["_docid"]: tuple(r[c] for c in rank.RANK) for r in rank.ranked(found, plan).collect()}
     held = {r["_docid"] for r in match.matching(found, plan).collect()}
     assert set(got) == held and got == {d: tuple(_rank(per[d], plan)[c] for c in rank.RANK) for d in held}
+
+
+def _blocks(analyzer, docs, texts):
+    import pyarrow as pa
+
+    from sievio.functions.analyzer import _Block
+
+    block = _Block(analyzer)
+    for a in range(0, len(texts), 40):
+        block.add(pa.array(docs[a : a + 40], pa.int64()), pa.array(texts[a : a + 40]), 1)
+    return block.close(3).to_pylist()
+
+
+@pytest.mark.parametrize("analyzer", ["default", "whitespace"])
+def test_blocks_have_the_words_of_the_analyzer(monkeypatch, analyzer):
+    """Each word once (or in lines of MOST), sorted, with all its documents and positions, whatever the texts."""
+    import random
+
+    from sievio.functions import analyzer as module
+
+    monkeypatch.setattr(module, "MOST", 3)
+    rnd, signs = random.Random(7), ["a", "B", "ab", "Foo", "ña", "İ", "½", "²", "-", ".", "'", "###", '"', " ", " ", "\n", "\x1c", "\x85", "\u3000", "\u0301", "z" * 126, "_1"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(15))) for _ in range(600)]
+    docs = [None if i % 97 == 0 else i for i in range(600)]
+    lines = _blocks(analyzer, docs, texts)
+    assert [r["word"].encode() for r in lines] == sorted(r["word"].encode() for r in lines) and all(0 < len(r["docs"]) <= 3 and r["priority"] == 3 for r in lines)
+    got = sorted((str(d), r["word"], p) for r in lines for d, p in zip(r["docs"], r["positions"]))
+    assert got == sorted((str(d), w, p) for d, t in zip(docs, texts) for w, p in module.ANALYZERS[analyzer](t))
+
+
+def test_typos_need_no_vocabulary_and_no_shuffle_of_postings(spark):
+    """A distance is computed for a line of a block; the only shuffles are those of matches."""
+    index = build(spark, [{"a": "worthless thing"}, {"a": "worhtless, other"}, {"a": "words"}] * 20, ["a"])
+    q = index.query({"q": "worhtless "})
+    plan = q.matches().select("_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and index._words is None
+    assert q.matches().count() == 40
+    assert sorted(map(tuple, index.vocabulary().collect())) == [("other", 20), ("thing", 20), ("words", 20), ("worhtless", 20), ("worthless", 20)]
