@@ -574,3 +574,11 @@ def test_typos_need_no_vocabulary_and_no_shuffle_of_postings(spark):
     assert plan.count("Join") == 1 and index._words is None
     assert q.matches().count() == 40
     assert sorted(map(tuple, index.vocabulary().collect())) == [("other", 20), ("thing", 20), ("words", 20), ("worhtless", 20), ("worthless", 20)]
+
+
+def test_kept_postings_have_a_line_for_a_word(spark):
+    """Not one for every occurrence: that is what keeping them costs."""
+    index = build(spark, [{"a": "one two one"}] * 300, ["a"])
+    kept, _ = index.lookup()
+    assert index.postings().count() == 900 and kept.count() < 100
+    assert index.query({"q": "one two "}).matches().count() == 300
