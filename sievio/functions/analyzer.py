@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 TOKEN_MOST = 127
 #: Bytes of texts whose words make a block, those that are split at once, occurrences of a word in a line; chunks or words, and
 #: words of chunks, that are kept from one block to the next.
-BLOCK_BYTES, PART_BYTES, MOST = 12_000_000, 4_000_000, 1024
-KNOWN, BLOCK = 500_000, 2_000_000
+BLOCK_BYTES, PART_BYTES, MOST = 4_000_000, 2_000_000, 1024
+KNOWN, BLOCK = 150_000, 600_000
 _WORD_KINDS = frozenset(("Ll", "Lo", "Pc", "Mc", "Mn", "Nd", "Nl", "No"))
 _DROPPED = frozenset(("Mn", "Mc", "Me", "Cc", "Cn", "Cf", "Cs", "Co"))
 #: Look-alike punctuation, as public Unicode tables lump it.
